@@ -22,8 +22,8 @@ from provenia.llm.common import map_batches, remainder
 
 #: Labelled rows that are read for training, at most.
 SAMPLE_ROWS = 6000
-#: Features that the classifier weighs, at most; voters that the labelled rows suggest, at most; letters of a stem.
-FEATURES, SUGGESTED, STEM = 4096, 64, 5
+#: Features that the classifier weighs, at most; voters that the labelled rows suggest, at most; letters of the stems.
+FEATURES, SUGGESTED, STEMS = 1024, 96, (4, 5, 6, 7)
 #: Rejected from this score on.
 THRESHOLD = 0.7
 
@@ -40,10 +40,23 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def features(text: str) -> set[str]:
-    """Distinct lower-cased words, stems of the longer ones (marked ``~``), and the patterns found (marked ``#``)."""
-    words = set(_WORD.findall(text.lower()))
-    stems = {"~" + w[:STEM] for w in words if len(w) > STEM}
-    return words | stems | {f"#{i}" for i, p in enumerate(_PATTERNS) if p.search(text)}
+    """Distinct lower-cased words, their stems (marked ``~``; ``~2`` and ``~4`` if that many words have it), the patterns found (``#``)."""
+    words = Counter(_WORD.findall(text.lower()))
+    stems: dict[str, int] = {}
+    for w, n in words.items():
+        for k in STEMS:
+            if len(w) < k:
+                break
+            s = w[:k]
+            stems[s] = stems.get(s, 0) + n
+    found = set(words)
+    for s, n in stems.items():
+        found.add("~" + s)
+        if n > 1:
+            found.add("~2" + s)
+            if n > 3:
+                found.add("~4" + s)
+    return found | {f"#{i}" for i, p in enumerate(_PATTERNS) if p.search(text)}
 
 
 class LabelModel:
@@ -111,7 +124,7 @@ def train(rows: list[set[str]], gold: np.ndarray) -> ToxicityModel:
             mass[f] += p
     rate = float(y.mean())
     telling = {f: abs(mass[f] - c * rate) / np.sqrt(c * rate * (1 - rate) + 1) for f, c in seen.items() if c >= 3}
-    chosen = sorted((f for f in telling if telling[f] > 2.5), key=lambda f: (-telling[f], f))[:FEATURES]
+    chosen = sorted((f for f in telling if telling[f] > 4), key=lambda f: (-telling[f], f))[:FEATURES]
     place = {f: i for i, f in enumerate(chosen)}
     pairs = [(r, place[f]) for r, fs in enumerate(rows) for f in sorted(fs) if f in place]
     row, col = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
@@ -119,7 +132,7 @@ def train(rows: list[set[str]], gold: np.ndarray) -> ToxicityModel:
     speed_w, speed_b = np.full(len(chosen), 1e-8), 1e-8
     for _ in range(400):
         p = 1 / (1 + np.exp(-np.clip(b + np.bincount(row, w[col], n), -30, 30)))
-        gw, gb = np.bincount(col, (p - y)[row], len(chosen)) + 0.05 * w, float((p - y).sum())
+        gw, gb = np.bincount(col, (p - y)[row], len(chosen)) + 0.1 * w, float((p - y).sum())
         speed_w += gw * gw
         speed_b += gb * gb
         w -= 0.5 * gw / np.sqrt(speed_w)
