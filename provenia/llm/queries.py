@@ -14,6 +14,7 @@ from provenia.llm.common import remainder
 from provenia.llm.decontaminate import find_overlaps
 from provenia.llm.lines import dedup_lines
 from provenia.llm.mixing import mix_sources
+from provenia.llm.passages import repeated_passages
 from provenia.llm.secrets import scan_secrets
 from provenia.llm.simhash import simhash_components
 
@@ -56,6 +57,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(_table(spark, sf_dir, "documents"))
 
