@@ -139,11 +139,10 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     names = [x.split()[0] for x in schema.split(", ")]
     out = rows.sparkSession.createDataFrame([], schema)
     for index in _blocks(benchmark, item_col, item_text, block_tokens):
-        shared = rows.sparkSession.sparkContext.broadcast(index)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = [(d, *o, o[5] / (o[2] - o[1])) for d, raw in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1)), strict=True) for o in shared.value.overlaps(raw or b"")]
+                found = [(d, *o, o[5] / (o[2] - o[1])) for d, raw in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1)), strict=True) for o in index.overlaps(raw or b"")]
                 if found:
                     types = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.float64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names=names)
@@ -156,11 +155,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     """``docs`` without the rows whose text overlaps an item; columns stay as they are, null texts stay."""
     at = docs.columns.index(text_col)
     for index in _blocks(benchmark, item_col, item_text, block_tokens):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array([not shared.value.overlaps(raw or b"") for raw in bytes_of(batch.column(at))], pa.bool_()))
+                yield batch.filter(pa.array([not index.overlaps(raw or b"") for raw in bytes_of(batch.column(at))], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
