@@ -15,13 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenia.llm.common import map_batches, remainder
+from provenia.llm.common import map_batches, remainder, stored
 
 #: Labelled rows that are read for training, at most.
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 5000
 #: Features that the classifier weighs, at most; voters that the labelled rows suggest, at most; letters of the stems.
 FEATURES, SUGGESTED, STEMS = 1024, 96, (4, 5, 6, 7)
 #: Rejected from this score on.
@@ -101,34 +102,36 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(self.bias + sum(get(f, 0.0) for f in features(text)), -30, 30))))
 
 
-def _suggested(rows: list[set[str]], gold: np.ndarray) -> list[str]:
-    """Features that mark the toxic rows most clearly, for further voters."""
-    yes, no = Counter(), Counter()
-    for fs, g in zip(rows, gold, strict=True):
-        (yes if g else no).update(fs)
-    n_yes, n_no = max(1, int(gold.sum())), max(1, int((1 - gold).sum()))
-    odds = {f: np.log((c + 0.5) / (n_yes + 1)) - np.log((no[f] + 0.5) / (n_no + 1)) for f, c in yes.items() if c >= 5}
-    return sorted((f for f, o in odds.items() if o > 2.5), key=lambda f: (-yes[f] * odds[f], f))[:SUGGESTED]
-
-
-def train(rows: list[set[str]], gold: np.ndarray) -> ToxicityModel:
-    """Voters, label model, then logistic regression on the posterior labels."""
-    voters = [v for v in dict.fromkeys([*LEXICON, *[f"#{i}" for i in range(len(PATTERNS))], *_suggested(rows, gold)])]
-    votes = np.array([[v in fs for v in voters] + [not any(v in fs for v in voters)] for fs in rows], np.float64)
-    model = LabelModel(votes, gold)
-    y = model.labels
-    seen, mass = Counter(), Counter()
-    for fs, p in zip(rows, y.tolist(), strict=True):
-        for f in fs:
-            seen[f] += 1
-            mass[f] += p
+def hashed(names: set[str]) -> np.ndarray:
+    """The features of a text as sorted 64-bit hashes: what training holds instead of the names."""
+    return np.sort(np.array([xxhash.xxh3_64_intdigest(n) for n in names], np.uint64))
+
+
+def train(texts: list[np.ndarray], gold: np.ndarray) -> tuple[float, dict[int, float]]:
+    """Voters, label model, then logistic regression on the posterior labels. Bias, and weights by hash of the feature."""
+    n, y = len(texts), gold.astype(np.float64)
+    row = np.repeat(np.arange(n), [len(t) for t in texts])
+    known, col, seen = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
+    n_yes, n_no = y.sum(), n - y.sum()
+    yes = np.bincount(col, y[row], len(known))
+    odds = np.log((yes + 0.5) / (n_yes + 1)) - np.log((seen - yes + 0.5) / (n_no + 1))
+    marks = np.flatnonzero((yes >= 5) & (odds > 2.5))
+    marks = marks[np.argsort(-yes[marks] * odds[marks], kind="stable")[:SUGGESTED]]
+    given = np.flatnonzero(np.isin(known, hashed({*LEXICON, *[f"#{i}" for i in range(len(PATTERNS))]})))
+    voters = np.unique(np.r_[given, marks])
+    votes = np.zeros((n, len(voters) + 1))
+    cast = np.isin(col, voters)
+    votes[row[cast], np.searchsorted(voters, col[cast])] = 1
+    votes[:, -1] = ~votes[:, :-1].any(axis=1)
+    y = LabelModel(votes, gold).labels
     rate = float(y.mean())
-    telling = {f: abs(mass[f] - c * rate) / np.sqrt(c * rate * (1 - rate) + 1) for f, c in seen.items() if c >= 3}
-    chosen = sorted((f for f in telling if telling[f] > 4), key=lambda f: (-telling[f], f))[:FEATURES]
-    place = {f: i for i, f in enumerate(chosen)}
-    pairs = [(r, place[f]) for r, fs in enumerate(rows) for f in sorted(fs) if f in place]
-    row, col = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
-    w, b, n = np.zeros(len(chosen)), float(np.log(rate / (1 - rate))), len(rows)
+    mass = np.bincount(col, y[row], len(known))
+    telling = np.abs(mass - seen * rate) / np.sqrt(seen * rate * (1 - rate) + 1)
+    chosen = np.flatnonzero((seen >= 3) & (telling > 4))
+    chosen = np.sort(chosen[np.argsort(-telling[chosen], kind="stable")[:FEATURES]])
+    keep = np.isin(col, chosen)
+    row, col = row[keep], np.searchsorted(chosen, col[keep])
+    w, b = np.zeros(len(chosen)), float(np.log(rate / (1 - rate)))
     speed_w, speed_b = np.full(len(chosen), 1e-8), 1e-8
     for _ in range(400):
         p = 1 / (1 + np.exp(-np.clip(b + np.bincount(row, w[col], n), -30, 30)))
@@ -137,29 +140,38 @@ def train(rows: list[set[str]], gold: np.ndarray) -> ToxicityModel:
         speed_b += gb * gb
         w -= 0.5 * gw / np.sqrt(speed_w)
         b -= 0.2 * gb / np.sqrt(speed_b)
-    return ToxicityModel(b, dict(zip(chosen, w.tolist(), strict=True)))
+    return b, dict(zip(known[chosen].tolist(), w.tolist(), strict=True))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, seed: int = 42) -> ToxicityModel:
     """Fit on at most ``sample_rows`` labelled rows, drawn by a hash of the id; null labels and ids are left out.
 
-    The drawn ids are bounded by that parameter, so they are broadcast to the texts. Without a
-    row of either class nothing is learned and every score is 0.
+    The drawn ids are bounded by that parameter, so they are broadcast to the texts. The driver
+    holds hashes of their features; a second look at the same rows names the features that got a
+    weight. Without a row of either class nothing is learned and every score is 0.
     """
     gold = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("gold")).where("id is not null and gold is not null")
     drawn = gold.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample_rows).groupBy("id").agg(F.max("gold").alias("gold"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(drawn), "id").select("id", "gold", "text")
+    rows = stored(texts.join(F.broadcast(drawn), "id").select("id", "gold", "text"), "labelled")
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [sorted(features(t or "")) for t in batch.column(2).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], names=["id", "gold", "features"])
+        found = [hashed(features(t or "")).tobytes() for t in batch.column(2).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["id", "gold", "features"])
 
-    sample = sorted(map_batches(rows, of, "id long, gold int, features array<string>").toLocalIterator(), key=lambda r: (r[0], r[1], r[2]))
-    y = np.array([int(r[1] > 0) for r in sample])
+    sample = [(r[0], int(r[1] > 0), bytes(r[2])) for r in map_batches(rows, of, "id long, gold int, features binary").toLocalIterator()]
+    sample.sort()
+    y = np.array([r[1] for r in sample])
     if not len(y) or y.min() == y.max():
         return ToxicityModel(-30.0, {})
-    return train([set(r[2]) for r in sample], y)
+    bias, weights = train([np.frombuffer(r[2], np.uint64) for r in sample], y)
+
+    def names(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = {n for t in batch.column(2).to_pylist() for n in features(t or "") if xxhash.xxh3_64_intdigest(n) in weights}
+        return pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["name"])
+
+    named = [r[0] for r in map_batches(rows, names, "name string").distinct().collect()]
+    return ToxicityModel(bias, {n: weights[xxhash.xxh3_64_intdigest(n)] for n in sorted(named)})
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
