@@ -25,6 +25,10 @@ MASKS = ("11111", "1101101", "1011011", "110011001", "1110000011")
 LEAST_ITEM, LEAST_WORDS, LEAST_SHARE = 5, 12, 0.6
 #: Tokens of the items that one scan looks for: the bound on what is broadcast.
 BLOCK_TOKENS = 2_000_000
+#: Odd multipliers, one a position.
+_ODD = [(0x9E3779B97F4A7C15 * (2 * i + 1) ** 3) & ((1 << 64) - 1) for i in range(max(map(len, MASKS)))]
+#: Words of texts that are hashed at one go.
+_TOGETHER = 50_000
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -51,7 +55,7 @@ class SeedIndex:
         seeds = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
         order = np.argsort(seeds[:, 0], kind="stable")
         self.seeds, self.owner, self.place = seeds[order, 0], seeds[order, 1], seeds[order, 2]
-        self.shift = np.uint64(64 - max(16, min(26, int(len(seeds)).bit_length() + 5)))
+        self.shift = np.uint64(64 - max(16, min(26, int(len(seeds)).bit_length() + 8)))
         self.filled = np.zeros(1 << (64 - int(self.shift)), bool)
         self.filled[(self.seeds.view(np.uint64) >> self.shift).astype(np.int64)] = True
 
@@ -62,36 +66,56 @@ class SeedIndex:
         n = len(ids) - len(pattern) + 1
         if n <= 0:
             return np.zeros(0, np.uint64)
-        x, h = ids.view(np.uint64), np.full(n, mask + 1, np.uint64)
+        x, h = ids.view(np.uint64), np.full(n, (mask + 1) << 40, np.uint64)
         for i, on in enumerate(pattern):
             if on == "1":
                 h = (h ^ x[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
         return h * np.uint64(0xBF58476D1CE4E5B9)
 
-    def overlaps(self, raw: bytes) -> list[tuple[int, int, int, int, int, int]]:
-        """``item_id, doc_start, doc_end, item_start, item_end, matched`` of the best overlap with each item."""
-        get = self.words.get
-        ids = np.array([get(w, 0) for w in tokens(raw)], np.int64)
-        near: set[tuple[int, int]] = set()
+    def overlaps(self, raws: list[bytes]) -> list[list[tuple[int, int, int, int, int, int]]]:
+        """For each text, ``item_id, doc_start, doc_end, item_start, item_end, matched`` of its best overlap with each item."""
+        out: list[list[tuple[int, int, int, int, int, int]]] = []
+        held, size = [], 0
+        for raw in raws:
+            held.append(tokens(raw))
+            size += len(held[-1])
+            if size >= _TOGETHER:
+                out += self._together(held)
+                held, size = [], 0
+        return out + self._together(held)
+
+    def _together(self, texts: list[list[bytes]]) -> list[list[tuple[int, int, int, int, int, int]]]:
+        """Texts laid end to end; the unknown words between them are in no item, so no hit reaches over."""
+        get, apart, flat, starts = self.words.get, [0] * len(_ODD), [], []
+        for words in texts:
+            starts.append(len(flat))
+            flat += [get(w, 0) for w in words]
+            flat += apart
+        ids, owners = np.array(flat, np.int64), np.array(starts, np.int64)
+        near: set[tuple[int, int, int]] = set()
         for mask in range(len(MASKS)):
             h = self.hashes(ids, mask)
-            for p in np.flatnonzero(self.filled[(h >> self.shift).astype(np.int64)]).tolist():
-                key = h[p].view(np.int64)
-                a, b = np.searchsorted(self.seeds, key, "left"), np.searchsorted(self.seeds, key, "right")
-                near.update((int(self.owner[i]), p - int(self.place[i])) for i in range(a, b))
-        best: dict[int, tuple[int, int, int, int, int, int]] = {}
-        for no, diagonal in sorted(near):
+            at = np.flatnonzero(self.filled[(h >> self.shift).astype(np.int64)])
+            if len(at):
+                keys = h[at].view(np.int64)
+                first, last = np.searchsorted(self.seeds, keys, "left"), np.searchsorted(self.seeds, keys, "right")
+                at, first, last = (x[last > first] for x in (at, first, last))
+                text = np.searchsorted(owners, at, "right") - 1
+                for d, p, a, b in zip(text.tolist(), (at - owners[text]).tolist(), first.tolist(), last.tolist(), strict=True):
+                    near.update((d, int(self.owner[i]), p - int(self.place[i])) for i in range(a, b))
+        best: list[dict[int, tuple[int, int, int, int, int, int]]] = [{} for _ in texts]
+        for d, no, diagonal in sorted(near):
             item_id, item = self.items[no]
-            start, end = max(0, -diagonal), min(len(item), len(ids) - diagonal)
-            same = ids[start + diagonal : end + diagonal] == item[start:end]
+            start, end = max(0, -diagonal), min(len(item), len(texts[d]) - diagonal)
+            same = ids[starts[d] + start + diagonal : starts[d] + end + diagonal] == item[start:end]
             got = longest_overlap(same)
             if got and got[1] - got[0] >= max(min(len(item), LEAST_WORDS), LEAST_SHARE * len(item)):
-                a, b = got[0] + start, got[1] + start
-                row = (item_id, a + diagonal, b + diagonal, a, b, int(same[got[0] : got[1]].sum()))
-                if no not in best or row[5] > best[no][5]:
-                    best[no] = row
-        return list(best.values())
+                x, y = got[0] + start, got[1] + start
+                row = (item_id, x + diagonal, y + diagonal, x, y, int(same[got[0] : got[1]].sum()))
+                if no not in best[d] or row[5] > best[d][no][5]:
+                    best[d][no] = row
+        return [list(x.values()) for x in best]
 
 
 def longest_overlap(same: np.ndarray) -> tuple[int, int] | None:
@@ -142,7 +166,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = [(d, *o, o[5] / (o[2] - o[1])) for d, raw in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1)), strict=True) for o in index.overlaps(raw or b"")]
+                found = [(d, *o, o[5] / (o[2] - o[1])) for d, own in zip(batch.column(0).to_pylist(), index.overlaps([raw or b"" for raw in bytes_of(batch.column(1))]), strict=True) for o in own]
                 if found:
                     types = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.float64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names=names)
@@ -158,7 +182,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array([not index.overlaps(raw or b"") for raw in bytes_of(batch.column(at))], pa.bool_()))
+                yield batch.filter(pa.array([not own for own in index.overlaps([raw or b"" for raw in bytes_of(batch.column(at))])], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
