@@ -6,7 +6,7 @@ import importlib
 
 from provenia.plans.registry import BUILDERS, SQL, Builder
 
-MODULES = ("scalar",)
+MODULES = ("scalar", "relational", "documents")
 
 
 def queries() -> dict[str, Builder]:
