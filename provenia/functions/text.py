@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words of titles that carry no identity.
 TITLE_STOPWORDS = (
@@ -137,13 +138,13 @@ def quoted_form(c: Column) -> Column:
     return F.lower(c)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Unicode compatibility form; Spark has no function for it."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def title_case(texts: pd.Series) -> pd.Series:
     """A capital after every character that is no letter, as titles of cover pages want it; ``initcap`` differs."""
     return texts.map(lambda t: None if t is None else t.title())

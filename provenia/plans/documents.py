@@ -42,7 +42,7 @@ def src_version_dates(spark: SparkSession, d: str) -> DataFrame:
 @query("""select o_custkey, 'https://e.org/' || (o_custkey) as url, 1 as pos from (select distinct o_custkey from orders)""")
 def src_sitemap_locs(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_custkey")
-    xml = F.concat(F.lit("<loc>ftp://x</loc><loc> https://e.org/"), k, F.lit(" </loc><loc>https://E.org/"), k, F.lit("/?lang=en</loc><loc>https://e.org/s.xml</loc>"))
+    xml = F.concat(F.lit("<loc>ftp://x</loc><loc> https://e.org/"), k, F.lit(" </loc><loc>https://E.org/"), k, F.lit("?lang=en</loc><loc>https://e.org/s.xml</loc>"))
     maps = table(spark, d, "orders", "o_custkey").distinct().withColumn("xml", xml)
     return readers.sitemap_locations(maps, "o_custkey", "xml").select("o_custkey", "url", F.col("pos").cast("int").alias("pos"))
 
@@ -183,11 +183,11 @@ def text_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     return chunking.heading_table(table(spark, d, "documents", "doc_id", "text").withColumn("text", F.array_join(lines, "\n")))
 
 
-@query("""with p as (select user_id, event_id, value::int % 40 as size, event_id % 100 as page from events), m as (select user_id, page, size from p where size >= 32 group by all), s as (select user_id, page, max(size) as size from m group by all)
+@query("""with p as (select user_id, event_id, floor(value)::int % 40 as size, event_id % 100 as page from events), m as (select user_id, page, size from p where size >= 32 group by all), s as (select user_id, page, max(size) as size from m group by all)
     select user_id, page as first_page, coalesce(lead(page) over (partition by user_id order by page) - 1, 99) as last_page, size::bigint as size from s""")
 def segment_pages(spark: SparkSession, d: str) -> DataFrame:
     """Acts of a volume start on pages with a large line and end before the next one."""
-    spans = table(spark, d, "events", "user_id", "event_id", "value").select("user_id", (F.col("event_id") % 100).alias("first_page"), F.pmod(F.round("value").cast("int"), F.lit(40)).alias("size"))
+    spans = table(spark, d, "events", "user_id", "event_id", "value").select("user_id", (F.col("event_id") % 100).alias("first_page"), F.pmod(F.floor("value").cast("int"), F.lit(40)).alias("size"))
     starts = spans.where("size >= 32").groupBy("user_id", "first_page").agg(F.max("size").cast("long").alias("size"))
     after = F.lead("first_page").over(Window.partitionBy("user_id").orderBy("first_page"))
     return starts.select("user_id", "first_page", F.coalesce(after - 1, F.lit(99)).cast("long").alias("last_page"), "size")
@@ -232,19 +232,21 @@ def _asked(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("q", t) for t in QUESTION], "query string, term string")
 
 
-_BM25 = f"""t as (select lang, doc_id, unnest({_TOK}) as term, len({_TOK}) as dl from documents), tf as (select lang, doc_id, dl, term, count(*) as tf from t group by all),
-    s as (select lang, count(*) as n, avg(len({_TOK})) as avgdl from documents group by lang), df as (select lang, term, count(*) as df from tf group by all),
-    raw as (select lang, term, ln(n - df + 0.5) - ln(df + 0.5) as raw from df join s using (lang)), m as (select lang, avg(raw) as m from raw group by lang),
-    idf as (select lang, term, case when raw < 0 then 0.25 * m else raw end as idf from raw join m using (lang)),
-    sc as (select lang, doc_id, sum(a.times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score from tf join {_ASKED} on a.term = tf.term join idf on idf.lang = tf.lang and idf.term = tf.term join s using (lang) group by 1, 2),
-    bm as (select d.lang, d.doc_id, coalesce(sc.score, 0) as score, d.text from documents d left join sc using (lang, doc_id))"""
+_BM25 = f"""t as (select lang, doc_id, unnest({_TOK}) as term from documents), tf as materialized (select lang, doc_id, term, count(*) as tf from t group by 1, 2, 3),
+    dl as materialized (select lang, doc_id, len({_TOK}) as dl from documents), s as (select lang, count(*) as n, avg(dl) as avgdl from dl group by lang),
+    df as (select lang, term, count(*) as df from tf group by 1, 2), raw as materialized (select df.lang, df.term, ln(n - df + 0.5) - ln(df + 0.5) as raw from df join s on s.lang = df.lang), m as (select lang, avg(raw) as m from raw group by lang),
+    idf as (select raw.lang, raw.term, case when raw < 0 then 0.25 * m else raw end as idf from raw join m on m.lang = raw.lang join {_ASKED} on a.term = raw.term),
+    hit as (select tf.lang, tf.doc_id, tf.term, tf.tf, a.times from tf join {_ASKED} on a.term = tf.term),
+    sc as (select hit.lang, hit.doc_id, sum(hit.times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score from hit join idf on idf.lang = hit.lang and idf.term = hit.term
+        join dl on dl.doc_id = hit.doc_id join s on s.lang = hit.lang group by 1, 2),
+    bm as (select d.lang, d.doc_id, coalesce(sc.score, 0) as score, d.text from documents d left join sc on sc.doc_id = d.doc_id)"""
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     return lexical.bm25(table(spark, d, "documents", "doc_id", "text", "lang"), _asked(spark), ["lang"], "doc_id")
 
 
-@query(f"with {_BM25.replace('tf.lang', 'tf.lang')} select lang, doc_id, round(score, 6) as score from bm".replace("left join sc using (lang, doc_id)", "left join (select tf_lang as lang, doc_id, score from (select lang as tf_lang, doc_id, score from sc)) sc using (lang, doc_id)"))
+@query(f"with {_BM25} select lang, doc_id, round(score, 6) as score from bm")
 def bm25_score(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).select("lang", "doc_id", F.round("score", 6).alias("score"))
 
@@ -433,8 +435,9 @@ def validate_provision(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"select r as rec_no, concat_ws('; ', case when conf < 0.8 then 'low_confidence' end, 'law_name_possibly_abbreviated', case when l_partkey % 2 = 0 then 'article_missing_paragraph' end, case when l_suppkey % 3 = 0 then 'non_primary_source' end, case when l_linenumber = 1 then 'cross_reference' end) as flags from {_REC}")
 def review_flags(spark: SparkSession, d: str) -> DataFrame:
-    keys = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").selectExpr("l_orderkey * 10 + l_linenumber as rec_no", "l_linenumber", "l_partkey", "l_suppkey")
-    rows = _records(spark, d).select("rec_no", "confidence", "law_name").join(keys, "rec_no").withColumns({
+    conf = "l_quantity / 50 + case when (l_orderkey * 10 + l_linenumber) % 19 = 0 then 1.0D else 0.0D end as confidence"
+    lines = table(spark, d, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber as rec_no", conf, "concat('Act ', l_linestatus) as law_name", "l_linenumber", "l_partkey", "l_suppkey")
+    rows = lines.withColumns({
         "article": F.concat(F.lit("Section 4"), F.when(F.col("l_partkey") % 2 == 0, "").otherwise("(1)")), "portal_type": F.when(F.col("l_suppkey") % 3 == 0, "secondary").otherwise("primary"),
         "untestable": F.lit(False), "verbatim_snippet": F.when(F.col("l_linenumber") == 1, "done Pursuant to it").otherwise("done"),
     })
