@@ -120,20 +120,15 @@ class SeedIndex:
 
 def longest_overlap(same: np.ndarray) -> tuple[int, int] | None:
     """The longest run, from a match to a match, of which at least four fifths match; the first of equals."""
-    n = len(same)
-    gain = np.r_[0, np.cumsum(np.where(same, 1, -4))]
-    lowest = np.minimum.accumulate(gain)  # an earlier start with no higher sum
-    best: tuple[int, int] | None = None
-    for end in range(n, 0, -1):
-        if best and end <= best[1] - best[0]:
-            break
-        start = int(np.searchsorted(-lowest, -gain[end], "left"))
-        if start < end and (best is None or end - start > best[1] - best[0]):
-            best = (start, end)
-    if best is None:
+    ends = np.flatnonzero(same)
+    if not len(ends):
         return None
-    inside = np.flatnonzero(same[best[0] : best[1]])
-    return best[0] + int(inside[0]), best[0] + int(inside[-1]) + 1
+    gain = np.r_[0, np.cumsum(np.where(same, 1, -4))]
+    lowest = np.minimum.accumulate(gain)  # of all starts up to here
+    first = np.searchsorted(-lowest, -gain[ends + 1], "left")  # earliest start from which the run is alike enough
+    starts = ends[np.searchsorted(ends, first)]  # a start at a mismatch only gains by moving on to the next match
+    best = int(np.argmax(ends - starts))
+    return int(starts[best]), int(ends[best]) + 1
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> Iterator[SeedIndex]:
