@@ -91,13 +91,12 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame |
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         parent = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(parent, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(parent.select("u", F.col("m").alias("v"))).distinct()
         )
-        small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         after_df = stored(small, "edges")
         after = sign(after_df)
         done = after == before

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from provenia.llm.common import bytes_of, remainder
 
 WIDTHS, FILTERS, EMBED, WINDOW = (2, 3, 4), 16, 8, 256
-#: Labelled rows of each language that the network is trained on, at most, and windows drawn from each.
-SAMPLE_ROWS, WINDOWS_EACH = 400, 3
+#: Labelled rows of each language that the network is trained on, at most, windows drawn from each, and parts a language is drawn in.
+SAMPLE_ROWS, WINDOWS_EACH, SALTS = 400, 3, 32
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _CHUNK = 256
@@ -123,17 +123,25 @@ def windows_of(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> ByteCNN | None:
-    """Train on at most ``sample_rows`` labelled rows a language, drawn by a hash of the id; None without any."""
+    """Train on at most ``sample_rows`` labelled rows a language, drawn by a hash of the id; None without any.
+
+    Ids are drawn first; what is broadcast to the texts is bounded by that number times the languages.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
     usable = rows.where(F.col("lang").isNotNull() & (F.length("text") > 0))
-    sample = usable.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_rows).orderBy("lang", "n").select("lang", F.col("text").cast("binary")).collect()
+    keyed = usable.select("lang", "doc_id", F.xxhash64("doc_id", F.lit(seed)).alias("place"))
+    for group in (("lang", F.pmod("place", F.lit(SALTS))), ("lang",)):  # first in parts, so that a common language is not one task's work
+        order = Window.partitionBy(*group).orderBy("place", "doc_id")
+        keyed = keyed.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_rows)
+    drawn = F.broadcast(keyed.select("doc_id", "lang", "place").distinct())
+    picked = usable.join(drawn, ["doc_id", "lang"]).select("lang", F.col("text").cast("binary").alias("raw"), "place")
+    sample = sorted((r[0], r[2], bytes(r[1])) for r in picked.toLocalIterator())
     if not sample:
         return None
     labels = sorted({r[0] for r in sample})
     rng, xs, ys = np.random.default_rng(seed), [], []
-    for lang, raw in sample:
-        own, _ = windows_of([bytes(raw)])
+    for lang, _, raw in sample:
+        own, _ = windows_of([raw])
         for i in rng.choice(len(own), min(WINDOWS_EACH, len(own)), replace=False):
             xs.append(own[i])
             ys.append(labels.index(lang))
