@@ -94,7 +94,7 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     repeat an id are one document. Null ids take no part.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null")
-    known = stored(sketches(texts), "sketches")
+    known = stored(sketches(texts).dropDuplicates(["doc"]), "sketches")
     owners = known.select("doc", F.explode("fps").alias("fp"))
     labels = components(link_fingerprints(owners.select("fp").distinct()))
     members = owners if labels is None else owners.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("doc", F.coalesce("label", "fp").alias("fp"))
@@ -106,8 +106,8 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         pairs = tried.select("doc", "rep").distinct()
         if found is not None:
             pairs = pairs.join(found, ["doc", "rep"], "left_anti")
-        one = known.select("doc", F.col("sketch").alias("a")).dropDuplicates(["doc"])
-        two = known.select(F.col("doc").alias("rep"), F.col("sketch").alias("b")).dropDuplicates(["rep"])
+        one = known.select("doc", F.col("sketch").alias("a"))
+        two = known.select(F.col("doc").alias("rep"), F.col("sketch").alias("b"))
         alike = stored(_alike(pairs.join(one, "doc").join(two, "rep").select("doc", "rep", "a", "b"), similarity), "alike")
         found = alike if found is None else found.unionByName(alike)
         rest = stored(tried.join(alike, ["doc", "rep"], "left_anti").select("doc", "fp"), "members")

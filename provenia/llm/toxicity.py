@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from provenia.llm.common import map_batches, remainder, stored
 
 #: Labelled rows that are read for training, at most.
-SAMPLE_ROWS = 5000
+SAMPLE_ROWS = 4000
 #: Features that the classifier weighs, at most; voters that the labelled rows suggest, at most; letters of the stems.
 FEATURES, SUGGESTED, STEMS = 1024, 96, (4, 5, 6, 7)
 #: Rejected from this score on.
@@ -110,8 +110,9 @@ def hashed(names: set[str]) -> np.ndarray:
 def train(texts: list[np.ndarray], gold: np.ndarray) -> tuple[float, dict[int, float]]:
     """Voters, label model, then logistic regression on the posterior labels. Bias, and weights by hash of the feature."""
     n, y = len(texts), gold.astype(np.float64)
-    row = np.repeat(np.arange(n), [len(t) for t in texts])
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in texts])
     known, col, seen = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
+    col = col.astype(np.int32)
     n_yes, n_no = y.sum(), n - y.sum()
     yes = np.bincount(col, y[row], len(known))
     odds = np.log((yes + 0.5) / (n_yes + 1)) - np.log((seen - yes + 0.5) / (n_no + 1))
@@ -164,7 +165,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     y = np.array([r[1] for r in sample])
     if not len(y) or y.min() == y.max():
         return ToxicityModel(-30.0, {})
-    bias, weights = train([np.frombuffer(r[2], np.uint64) for r in sample], y)
+    held = [np.frombuffer(r[2], np.uint64) for r in sample]
+    del sample
+    bias, weights = train(held, y)
+    del held
 
     def names(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = {n for t in batch.column(2).to_pylist() for n in features(t or "") if xxhash.xxh3_64_intdigest(n) in weights}
