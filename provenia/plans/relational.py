@@ -175,8 +175,8 @@ def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
     from provenia.operators import lexical
 
     docs = table(spark, d, "documents", "doc_id", "text", "lang")
-    stats = lexical.statistics(docs, ["lang"], "doc_id", "text")
-    idf = lexical.inverse_frequencies(lexical.term_table(docs, ["lang"], "doc_id", "text"), stats, ["lang"])
+    stats = lexical.statistics(docs, ["lang"], "text")
+    idf = lexical.inverse_frequencies(lexical.document_terms(docs, ["lang"], "text"), stats, ["lang"])
     sums = idf.groupBy("lang").agg(F.count("*").alias("terms"), F.round(F.sum("idf"), 4).alias("idf_sum"))
     return stats.join(sums, "lang").select("lang", "n", F.round("avgdl", 6).alias("avgdl"), "terms", "idf_sum")
 

@@ -25,7 +25,7 @@ def test_bm25_by_hand(spark):
 
 def test_bm25_negative_idf_is_floored(spark):
     docs = spark.createDataFrame([(i, "a") for i in range(3)] + [(3, "b")], "seq int, text string")
-    idf = {r.term: r.idf for r in lexical.inverse_frequencies(lexical.term_table(docs, [], "seq", "text"), lexical.statistics(docs, [], "seq", "text"), []).collect()}
+    idf = {r.term: r.idf for r in lexical.inverse_frequencies(lexical.document_terms(docs, [], "text"), lexical.statistics(docs, [], "text"), []).collect()}
     a, b = math.log(1.5) - math.log(3.5), math.log(3.5) - math.log(1.5)
     assert abs(idf["b"] - b) < 1e-9 and abs(idf["a"] - 0.25 * (a + b) / 2) < 1e-9
 
