@@ -4,8 +4,8 @@ One fingerprint of a whole text tells copies that differ in a few bits only. For
 more edits, texts are also cut at content-defined words into segments, and the segments with
 the smallest hashes are fingerprinted: an edit changes its own segment and leaves the others.
 All fingerprints are linked by the index at the same few bits. Texts in one class of
-fingerprints are compared with the class's smallest document, those that differ with the
-smallest of the rest, and so on for some rounds, by the overlap of their word shingles.
+fingerprints are compared with the class's smallest document, then with one another as far
+as no link has brought them into one group yet, by the overlap of their word shingles.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from provenia.llm.simhash import fingerprint, link_fingerprints, shingle_hashes
 
 #: Words of a shingle, least similarity, least words of a segment, one word in so many ends one.
 SHINGLE, SIMILARITY, LEAST_SEGMENT, CUT = 5, 0.8, 8, 12
-#: Segments of a text that are fingerprinted, shingle hashes kept for the comparison, rounds of comparisons in a class.
-SEGMENTS, SKETCH, ROUNDS = 8, 192, 3
+#: Segments of a text that are fingerprinted, shingle hashes kept for the comparison.
+SEGMENTS, SKETCH = 8, 192
 
 
 def shingles(words: np.ndarray) -> np.ndarray:
@@ -86,7 +86,25 @@ def _alike(pairs: DataFrame, similarity: float) -> DataFrame:
     return map_batches(pairs, of, "doc long, rep long")
 
 
-def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame | None:
+def _compared(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``doc, rep`` that are alike."""
+    one = known.select("doc", F.col("sketch").alias("a"))
+    two = known.select(F.col("doc").alias("rep"), F.col("sketch").alias("b"))
+    return stored(_alike(pairs.join(one, "doc").join(two, "rep").select("doc", "rep", "a", "b"), similarity), "alike")
+
+
+def _apart(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Pairs ``doc, rep`` of one class that are neither in one group yet nor compared: the class's smallest document was compared with all others."""
+    known = shared.withColumn("label", F.col("doc")) if labels is None else shared.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    known = stored(known, "labelled")
+    parted = known.where("doc != rep").groupBy("fp").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("fp")
+    rest = stored(known.where("doc != rep").join(parted, "fp").drop("rep"), "rest")
+    one, two = rest.alias("one"), rest.alias("two")
+    alike = one.join(two, (F.col("one.fp") == F.col("two.fp")) & (F.col("one.doc") > F.col("two.doc")) & (F.col("one.label") != F.col("two.label")))
+    return alike.select(F.col("one.doc").alias("doc"), F.col("two.doc").alias("rep")).distinct()
+
+
+def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame | None:
     """``node, label``: the documents that have near-duplicates, and the smallest id of their group; None if there are none.
 
     Similarity is the Jaccard overlap of the sets of five-word shingles (A-Z and a-z alike), of
@@ -98,20 +116,11 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     owners = known.select("doc", F.explode("fps").alias("fp"))
     labels = components(link_fingerprints(owners.select("fp").distinct()))
     members = owners if labels is None else owners.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("doc", F.coalesce("label", "fp").alias("fp"))
-    rest = stored(members.distinct(), "members")
-    found = None
-    for _ in range(rounds):
-        least = rest.groupBy("fp").agg(F.min("doc").alias("rep"), F.max("doc").alias("last")).where("rep < last").drop("last")
-        tried = stored(rest.join(least, "fp").where("doc != rep"), "tried")
-        pairs = tried.select("doc", "rep").distinct()
-        if found is not None:
-            pairs = pairs.join(found, ["doc", "rep"], "left_anti")
-        one = known.select("doc", F.col("sketch").alias("a"))
-        two = known.select(F.col("doc").alias("rep"), F.col("sketch").alias("b"))
-        alike = stored(_alike(pairs.join(one, "doc").join(two, "rep").select("doc", "rep", "a", "b"), similarity), "alike")
-        found = alike if found is None else found.unionByName(alike)
-        rest = stored(tried.join(alike, ["doc", "rep"], "left_anti").select("doc", "fp"), "members")
-    return components(found, "doc", "rep")
+    members = stored(members.distinct(), "members")
+    least = members.groupBy("fp").agg(F.min("doc").alias("rep"), F.max("doc").alias("last")).where("rep < last").drop("last")
+    shared = stored(members.join(least, "fp"), "shared")
+    stars = _compared(shared.where("doc != rep").select("doc", "rep").distinct(), known, similarity)
+    return components(stars.unionByName(_compared(_apart(shared, components(stars, "doc", "rep")), known, similarity)), "doc", "rep")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

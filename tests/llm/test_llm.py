@@ -334,6 +334,22 @@ def test_near_duplicates(spark):
     assert kept == {0, *range(13, 23), 24, 26}
 
 
+def test_near_duplicates_of_a_matched_text(spark):
+    """Each second text is near the first, each third near the second only; all have the same segments in common."""
+    rng = random.Random(5)
+    texts = []
+    for _ in range(12):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(150)]
+        for at in ((), (30, 75, 120), (36, 81, 126)):
+            for i in at:
+                words[i] = "".join(rng.choice("xyz") for _ in range(9))
+            texts.append(" ".join(words))
+    sets = [set(neardup.shingles(passages.word_hashes(t.encode())).tolist()) for t in texts]
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    assert all(alike(i, i + 1) and alike(i + 1, i + 2) and not alike(i, i + 2) for i in range(0, 36, 3))
+    assert {r.doc_id for r in neardup.drop_near_duplicates(docs_of(spark, texts)).collect()} == set(range(0, 36, 3))
+
+
 def test_chat(spark):
     rows = spark.createDataFrame([
         (1, 0, "system", "Be kind"), (1, 1, "ann", "Hi"), (1, 2, "bob", None), (1, 3, "ann", "Bye"), (1, 3, "ann", "Bye"), (2, None, None, "x"), (None, 0, "ann", "lost"), (3, 0, "system", "only"),
