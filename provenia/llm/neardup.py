@@ -1,28 +1,27 @@
-"""Near-duplicate texts at a stated similarity, on the SimHash operator's Gray-order index.
-
-One fingerprint of a whole text tells copies that differ in a few bits only. For copies with
-more edits, texts are also cut at content-defined words into segments, and the segments with
-the smallest hashes are fingerprinted: an edit changes its own segment and leaves the others.
-All fingerprints are linked by the index at the same few bits. Texts in one class of
-fingerprints are compared with the class's smallest document, then with one another as far
-as no link has brought them into one group yet, by the overlap of their word shingles.
+"""Near-duplicate texts at a stated similarity, by prefixes of their shingle sets.
+
+The shingles of every text are put in one order of all shingles, the common ones last. Texts
+that are alike have one of their first shingles in common, so a join on these finds every
+pair. The texts with one such shingle are compared with the smallest of them, then with one
+another as far as no link has brought them into one group yet, by their shingle sets.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenia.llm.common import bytes_of, components, map_batches, stored
 from provenia.llm.passages import word_hashes
-from provenia.llm.simhash import fingerprint, link_fingerprints, shingle_hashes
 
-#: Words of a shingle, least similarity, least words of a segment, one word in so many ends one.
-SHINGLE, SIMILARITY, LEAST_SEGMENT, CUT = 5, 0.8, 8, 12
-#: Segments of a text that are fingerprinted, shingle hashes kept for the comparison.
-SEGMENTS, SKETCH = 8, 192
+#: Words of a shingle, least similarity.
+SHINGLE, SIMILARITY = 5, 0.8
+#: Shingle hashes of a text that are compared.
+SKETCH = 192
+#: One text in so many is counted for the common shingles, and so many of these are put last. The result does not depend on them.
+SAMPLE, MOST_COMMON = 4, 50_000
 
 
 def shingles(words: np.ndarray) -> np.ndarray:
@@ -37,46 +36,67 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return h
 
 
-def segment_fingerprints(words: np.ndarray, hashes: np.ndarray) -> list[int]:
-    """SimHash of the shingles of each of the ``SEGMENTS`` segments with the smallest hash."""
-    cuts, start = [], 0
-    for end in (np.flatnonzero(words % np.uint64(CUT) == 0) + 1).tolist():
-        if end - start >= LEAST_SEGMENT:
-            cuts.append((start, end))
-            start = end
-    if len(words) - start >= LEAST_SEGMENT:
-        cuts.append((start, len(words)))
-    own = [hashes[a : max(a + 1, b - SHINGLE + 1)] for a, b in cuts]
-    own.sort(key=lambda h: int(h.min()))
-    return [fingerprint(np.ascontiguousarray(h)) for h in own[:SEGMENTS]]
+def sets_of(docs: DataFrame) -> DataFrame:
+    """``doc, hashes, n``: the distinct shingle hashes in order, and their number."""
 
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        kept = [np.unique(shingles(word_hashes(raw or b""))).view(np.int64) for raw in bytes_of(batch.column(1))]
+        lengths = np.array([len(x) for x in kept])
+        hashes = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), pa.array(np.concatenate(kept)))
+        return pa.RecordBatch.from_arrays([batch.column(0), hashes, pa.array(lengths, pa.int32())], names=["doc", "hashes", "n"])
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """``doc, fps, sketch, n``: fingerprints, the smallest distinct shingle hashes, and the number of distinct ones."""
+    return map_batches(docs, of, "doc long, hashes array<long>, n int")
 
-    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps, kept, n = [], [], []
-        for raw in bytes_of(batch.column(1)):
-            words = word_hashes(raw or b"")
-            h = shingles(words)
-            own = {fingerprint(shingle_hashes(raw or b"", 3)), *segment_fingerprints(words, h)}
-            fps.append(np.array(sorted(own), np.uint64).view(np.int64))
-            distinct = np.unique((h >> np.uint64(32)).astype(np.uint32))
-            kept.append(distinct[:SKETCH].view(np.int32))
-            n.append(len(distinct))
-        lists = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in v])], pa.int32()), pa.array(np.concatenate(v))) for v in (fps, kept)]
-        return pa.RecordBatch.from_arrays([batch.column(0), *lists, pa.array(n, pa.int32())], names=["doc", "fps", "sketch", "n"])
 
-    return map_batches(docs, of, "doc long, fps array<long>, sketch array<int>, n int")
+def common_shingles(sets: DataFrame) -> np.ndarray:
+    """The shingles that most texts of a sample hold, rarest first: they come last in the order of :func:`prefixes`."""
+    sample = sets.where(F.xxhash64("doc") % SAMPLE == 0).select(F.explode("hashes").alias("h"))
+    rows = sample.groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(MOST_COMMON).collect()
+    return np.array([r.h for r in reversed(rows)], np.int64)
+
+
+def prefixes(sets: DataFrame, common: np.ndarray, similarity: float) -> DataFrame:
+    """``doc, n, key, at``: the first shingles of each text in one order of all shingles, as many as two texts that are alike cannot both lack.
+
+    Texts of ``n`` shingles that overlap by ``similarity`` share ``similarity * n`` of them at
+    least, so they have one of the first ``n - similarity * n + 1`` in common, whatever the order.
+    """
+    order = np.argsort(common)
+    ranked = common[order]
+
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        docs, sizes, keys, places = [], [], [], []
+        for doc, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            h = own.values.to_numpy()
+            if not len(h):
+                continue
+            if len(ranked):
+                at = np.minimum(np.searchsorted(ranked, h), len(ranked) - 1)
+                h = h[np.argsort(np.where(ranked[at] == h, order[at] + 1, 0), kind="stable")]
+            first = h[: len(h) - least_shared(len(h), similarity) + 1]
+            docs.append(np.full(len(first), doc, np.int64))
+            sizes.append(np.full(len(first), len(h), np.int32))
+            keys.append(first)
+            places.append(np.arange(len(first), dtype=np.int32))
+        if not docs:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (docs, sizes, keys, places)], names=["doc", "n", "key", "at"])
+
+    return map_batches(sets.select("doc", "hashes"), of, "doc long, n int, key long, at int")
+
+
+def least_shared(n: int, similarity: float) -> int:
+    """Shingles that a text of ``n`` shares at least with any text that is alike."""
+    return max(1, int(np.ceil(similarity * n - 1e-9)))
 
 
 def _alike(pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs of sketches whose shingle sets overlap enough: exactly for short texts, by the smallest hashes of both for long ones."""
+    """The pairs whose sets of shingles overlap enough: exactly for short texts, by the smallest hashes of both for long ones."""
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
         for a, b in zip(batch.column(2), batch.column(3), strict=True):
-            a, b = (x.values.to_numpy().view(np.uint32) for x in (a, b))
+            a, b = (x.values.to_numpy().view(np.uint64)[:SKETCH] for x in (a, b))
             both = np.union1d(a, b)[:SKETCH]
             shared = int(np.isin(both, np.intersect1d(a, b, assume_unique=True), assume_unique=True).sum())
             keep.append(shared >= similarity * len(both))
@@ -88,19 +108,25 @@ def _alike(pairs: DataFrame, similarity: float) -> DataFrame:
 
 def _compared(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``doc, rep`` that are alike."""
-    one = known.select("doc", F.col("sketch").alias("a"))
-    two = known.select(F.col("doc").alias("rep"), F.col("sketch").alias("b"))
+    one = known.select("doc", F.col("hashes").alias("a"))
+    two = known.select(F.col("doc").alias("rep"), F.col("hashes").alias("b"))
     return stored(_alike(pairs.join(one, "doc").join(two, "rep").select("doc", "rep", "a", "b"), similarity), "alike")
 
 
-def _apart(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Pairs ``doc, rep`` of one class that are neither in one group yet nor compared: the class's smallest document was compared with all others."""
+def _possible(n: str, at: str, other_n: str, other_at: str, similarity: float) -> Column:
+    """Whether texts whose first common shingle is at these places can be alike: what follows in both bounds what they share."""
+    shared = F.least(F.col(n) - F.col(at), F.col(other_n) - F.col(other_at))
+    return shared >= similarity * (F.col(n) + F.col(other_n) - shared) - 1e-9
+
+
+def _apart(shared: DataFrame, labels: DataFrame | None, similarity: float) -> DataFrame:
+    """Pairs ``doc, rep`` with a key in common that are neither in one group yet nor compared: the key's smallest document was compared with all others."""
     known = shared.withColumn("label", F.col("doc")) if labels is None else shared.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    known = stored(known, "labelled")
-    parted = known.where("doc != rep").groupBy("fp").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("fp")
-    rest = stored(known.where("doc != rep").join(parted, "fp").drop("rep"), "rest")
+    known = stored(known.where("doc != rep").drop("rep", "rep_n", "rep_at"), "labelled")
+    parted = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    rest = stored(known.join(parted, "key"), "rest")
     one, two = rest.alias("one"), rest.alias("two")
-    alike = one.join(two, (F.col("one.fp") == F.col("two.fp")) & (F.col("one.doc") > F.col("two.doc")) & (F.col("one.label") != F.col("two.label")))
+    alike = one.join(two, (F.col("one.key") == F.col("two.key")) & (F.col("one.doc") > F.col("two.doc")) & (F.col("one.label") != F.col("two.label")) & _possible("one.n", "one.at", "two.n", "two.at", similarity))
     return alike.select(F.col("one.doc").alias("doc"), F.col("two.doc").alias("rep")).distinct()
 
 
@@ -112,15 +138,17 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     repeat an id are one document. Null ids take no part.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null")
-    known = stored(sketches(texts).dropDuplicates(["doc"]), "sketches")
-    owners = known.select("doc", F.explode("fps").alias("fp"))
-    labels = components(link_fingerprints(owners.select("fp").distinct()))
-    members = owners if labels is None else owners.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("doc", F.coalesce("label", "fp").alias("fp"))
-    members = stored(members.distinct(), "members")
-    least = members.groupBy("fp").agg(F.min("doc").alias("rep"), F.max("doc").alias("last")).where("rep < last").drop("last")
-    shared = stored(members.join(least, "fp"), "shared")
-    stars = _compared(shared.where("doc != rep").select("doc", "rep").distinct(), known, similarity)
-    return components(stars.unionByName(_compared(_apart(shared, components(stars, "doc", "rep")), known, similarity)), "doc", "rep")
+    sets = stored(sets_of(texts).dropDuplicates(["doc"]), "sets").withColumn("whole", F.xxhash64("hashes", "n"))
+    copies = stored(sets.groupBy("whole").agg(F.min("doc").alias("rep"), F.max("doc").alias("last")).where("rep < last").drop("last"), "copies")
+    equal = stored(sets.select("doc", "whole").join(copies, "whole").where("doc != rep").select("doc", "rep"), "equal")
+    known = stored(sets.select("doc", "hashes", "n").join(equal.select("doc"), "doc", "left_anti"), "known")
+    members = stored(prefixes(known, common_shingles(known), similarity), "members")
+    least = members.groupBy("key").agg(F.min(F.struct("doc", "n", "at")).alias("x"), F.max("doc").alias("last")).where("x.doc < last")
+    shared = stored(members.join(least.select("key", F.col("x.doc").alias("rep"), F.col("x.n").alias("rep_n"), F.col("x.at").alias("rep_at")), "key"), "shared")
+    near = shared.where("doc != rep").where(_possible("n", "at", "rep_n", "rep_at", similarity)).select("doc", "rep").distinct()
+    stars = _compared(near, known, similarity)
+    more = _compared(_apart(shared, components(stars, "doc", "rep"), similarity), known, similarity)
+    return components(equal.unionByName(stars).unionByName(more), "doc", "rep")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

@@ -350,6 +350,35 @@ def test_near_duplicates_of_a_matched_text(spark):
     assert {r.doc_id for r in neardup.drop_near_duplicates(docs_of(spark, texts)).collect()} == set(range(0, 36, 3))
 
 
+def brute_near_duplicates(texts, similarity=0.8):
+    """The texts that stay, by comparing all pairs of shingle sets."""
+    split = [t.lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in split]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                one, two = sorted((label[a], label[b]))
+                label = [one if x == two else x for x in label]
+    return {i for i, x in enumerate(label) if i == x}
+
+
+def test_near_duplicates_of_every_length(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for length in (5, 9, 14, 20, 30, 60, 150):
+        for _ in range(25):
+            words = [word() for _ in range(length)]
+            texts.append(" ".join(words))
+            for _ in range(max(1, length // 60)):
+                words[rng.choice([0, 1, -1, -2, rng.randrange(length)])] = word()
+            texts.append(" ".join(words))
+    want = brute_near_duplicates(texts)
+    assert 100 < len(texts) - len(want) < 175
+    assert {r.doc_id for r in neardup.drop_near_duplicates(docs_of(spark, texts)).collect()} == want
+
+
 def test_chat(spark):
     rows = spark.createDataFrame([
         (1, 0, "system", "Be kind"), (1, 1, "ann", "Hi"), (1, 2, "bob", None), (1, 3, "ann", "Bye"), (1, 3, "ann", "Bye"), (2, None, None, "x"), (None, 0, "ann", "lost"), (3, 0, "system", "only"),
