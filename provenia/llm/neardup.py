@@ -3,7 +3,7 @@
 The shingles of every text are put in one order of all shingles, the common ones last. Texts
 that are alike have one of their first shingles in common, so a join on these finds every
 pair. The texts with one such shingle are compared with the smallest of them, then with one
-another as far as no link has brought them into one group yet, by their shingle sets.
+another as far as no link has brought them into one group yet, by their whole shingle sets.
 """
 
 from __future__ import annotations
@@ -18,8 +18,6 @@ from provenia.llm.passages import word_hashes
 
 #: Words of a shingle, least similarity.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Shingle hashes of a text that are compared.
-SKETCH = 192
 #: One text in so many is counted for the common shingles, and so many of these are put last. The result does not depend on them.
 SAMPLE, MOST_COMMON = 4, 50_000
 
@@ -91,15 +89,16 @@ def least_shared(n: int, similarity: float) -> int:
 
 
 def _alike(pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sets of shingles overlap enough: exactly for short texts, by the smallest hashes of both for long ones."""
+    """The pairs whose sets of shingles overlap enough."""
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
         for a, b in zip(batch.column(2), batch.column(3), strict=True):
-            a, b = (x.values.to_numpy().view(np.uint64)[:SKETCH] for x in (a, b))
-            both = np.union1d(a, b)[:SKETCH]
-            shared = int(np.isin(both, np.intersect1d(a, b, assume_unique=True), assume_unique=True).sum())
-            keep.append(shared >= similarity * len(both))
+            a, b = a.values.to_numpy(), b.values.to_numpy()
+            both = np.concatenate([a, b])
+            both.sort(kind="stable")
+            shared = int((both[1:] == both[:-1]).sum())
+            keep.append(shared >= similarity * (len(both) - shared) - 1e-9)
         mask = pa.array(keep, pa.bool_())
         return pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["doc", "rep"])
 

@@ -379,6 +379,22 @@ def test_near_duplicates_of_every_length(spark):
     assert {r.doc_id for r in neardup.drop_near_duplicates(docs_of(spark, texts)).collect()} == want
 
 
+def test_near_duplicates_of_long_texts_are_exact(spark):
+    """Texts on both sides of the threshold, some by one shingle."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for length in (300, 1000):
+        for k in range(30):
+            words = [word() for _ in range(length)]
+            texts.append(" ".join(words))
+            tail = (length - 4) // 9 + k % 5 - 2
+            texts.append(" ".join([*words[: length - tail], *(word() for _ in range(tail))]))
+    want = brute_near_duplicates(texts)
+    assert 30 < len(texts) - len(want) < 50
+    assert {r.doc_id for r in neardup.drop_near_duplicates(docs_of(spark, texts)).collect()} == want
+
+
 def test_chat(spark):
     rows = spark.createDataFrame([
         (1, 0, "system", "Be kind"), (1, 1, "ann", "Hi"), (1, 2, "bob", None), (1, 3, "ann", "Bye"), (1, 3, "ann", "Bye"), (2, None, None, "x"), (None, 0, "ann", "lost"), (3, 0, "system", "only"),
