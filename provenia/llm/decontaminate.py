@@ -5,7 +5,8 @@ with single substitutions still shares seeds. The seed hashes of the test items
 those of the training texts inside the scan of the texts: a block of items (bounded in tokens)
 goes to the executors as a hash table, further blocks take further scans, and no text is
 shuffled. Every hit names a diagonal of one item and one text, which is then compared token by
-token around the hit.
+token around the hit; the overlaps of an item on neighbouring diagonals, parted by inserted or dropped
+tokens, are added up.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from provenia.llm.common import bytes_of
 
 #: Fixed masks: 1 compares the token, 0 ignores it. Any two substitutions inside a window of ten tokens leave one of them whole.
 MASKS = ("11111", "1101101", "1011011", "110011001", "1110000011")
-#: Fewest words of an item that takes part, and of an overlap; the least share of an item's words that an overlap spans.
-LEAST_ITEM, LEAST_WORDS, LEAST_SHARE = 5, 12, 0.6
+#: Fewest words of an item that takes part, of an overlap, and of a part of it on one diagonal; most words that one part lies off the next.
+LEAST_ITEM, LEAST_WORDS, LEAST_PART, MOST_SHIFT = 5, 12, 2, 8
 #: Tokens of the items that one scan looks for: the bound on what is broadcast.
 BLOCK_TOKENS = 2_000_000
 #: Odd multipliers, one a position.
@@ -104,18 +105,70 @@ class SeedIndex:
                 text = np.searchsorted(owners, at, "right") - 1
                 for d, p, a, b in zip(text.tolist(), (at - owners[text]).tolist(), first.tolist(), last.tolist(), strict=True):
                     near.update((d, int(self.owner[i]), p - int(self.place[i])) for i in range(a, b))
-        best: list[dict[int, tuple[int, int, int, int, int, int]]] = [{} for _ in texts]
-        for d, no, diagonal in sorted(near):
+        def parts(d: int, no: int, diagonals: set[int]) -> list[tuple[int, int, np.ndarray, int]]:
+            _, item = self.items[no]
+            found = []
+            for diagonal in sorted(diagonals):
+                start, end = max(0, -diagonal), min(len(item), len(texts[d]) - diagonal)
+                if end <= start:
+                    continue
+                same = ids[starts[d] + start + diagonal : starts[d] + end + diagonal] == item[start:end]
+                before = np.r_[0, np.cumsum(same)]
+                found += [(x + start, y + start, before[x : y + 1], diagonal) for x, y in overlap_runs(same, LEAST_PART)]
+            return found
+
+        hit: dict[tuple[int, int], set[int]] = {}
+        for d, no, diagonal in near:
+            hit.setdefault((d, no), set()).add(diagonal)
+        out: list[list[tuple[int, int, int, int, int, int]]] = [[] for _ in texts]
+        for d, no in sorted(hit):
             item_id, item = self.items[no]
-            start, end = max(0, -diagonal), min(len(item), len(texts[d]) - diagonal)
-            same = ids[starts[d] + start + diagonal : starts[d] + end + diagonal] == item[start:end]
-            got = longest_overlap(same)
-            if got and got[1] - got[0] >= max(min(len(item), LEAST_WORDS), LEAST_SHARE * len(item)):
-                x, y = got[0] + start, got[1] + start
-                row = (item_id, x + diagonal, y + diagonal, x, y, int(same[got[0] : got[1]].sum()))
-                if no not in best[d] or row[5] > best[d][no][5]:
-                    best[d][no] = row
-        return [list(x.values()) for x in best]
+            own, least = hit[d, no], min(len(item), LEAST_WORDS)
+            got = _joined(parts(d, no, own), least)
+            if not got:  # a short part between two insertions has no seed of its own
+                got = _joined(parts(d, no, {x + k for x in own for k in range(-MOST_SHIFT, MOST_SHIFT + 1)}), least)
+            if got:
+                out[d].append((item_id, *got))
+        return out
+
+
+def _joined(parts: list[tuple[int, int, np.ndarray, int]], least: int) -> tuple[int, int, int, int, int] | None:
+    """Best overlap of ``least`` words or more, ``doc_start, doc_end, item_start, item_end, matched``: one part, or several in order on near diagonals."""
+    parts = sorted(parts, key=lambda p: (p[0] + p[3], p[0]))
+    longest = max((p[1] for p in parts), default=0) + MOST_SHIFT
+    best, chains = None, []  # of each part the chain that ends in it: doc_start, item_start, matched
+    for j, (x, y, before, diagonal) in enumerate(parts):
+        own = (x + diagonal, x, int(before[-1] - before[0]))
+        for i in range(j - 1, -1, -1):
+            end, shift = parts[i][1], parts[i][3]
+            if x + diagonal - parts[i][0] - shift > longest:
+                break
+            if abs(shift - diagonal) > MOST_SHIFT or shift == diagonal:
+                continue
+            begin = max(x, end, end + shift - diagonal)
+            if begin >= y:
+                continue
+            doc, at, matched = chains[i]
+            matched += int(before[-1] - before[begin - x])
+            if matched > own[2] and 5 * matched >= 4 * max(y + diagonal - doc, y - at):
+                own = (doc, at, matched)
+        chains.append(own)
+        span = min(y + diagonal - own[0], y - own[1])
+        if span >= least and (best is None or own[2] > best[4]):
+            best = (own[0], y + diagonal, own[1], y, own[2])
+    return best
+
+
+def overlap_runs(same: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """The longest run (:func:`longest_overlap`), the longest before and after it, and so on, each of ``least`` or more."""
+    found, open_ = [], [(0, len(same))]
+    while open_:
+        a, b = open_.pop()
+        got = longest_overlap(same[a:b]) if b - a >= least else None
+        if got and got[1] - got[0] >= least:
+            found.append((a + got[0], a + got[1]))
+            open_ += [(a, a + got[0]), (a + got[1], b)]
+    return sorted(found)
 
 
 def longest_overlap(same: np.ndarray) -> tuple[int, int] | None:
@@ -147,9 +200,10 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> It
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row for each text and item that overlap: ids, word positions of the overlap in both, matches and their share.
 
-    An overlap is a run of words of the item, aligned without gaps, of which at least 0.8 are
-    the same in the text; it spans ``LEAST_WORDS`` words (or the whole item if that is shorter)
-    and ``LEAST_SHARE`` of the item. Items of under ``LEAST_ITEM`` words take no part. Null and
+    An overlap is a run of words of the item of which at least 0.8 are the same in the text, in
+    one part or in several that inserted or dropped words set off from one another by up to
+    ``MOST_SHIFT``; it spans ``LEAST_WORDS`` words (or the whole item if that is shorter), be
+    the item as long as it may. Items of under ``LEAST_ITEM`` words take no part. Null and
     empty texts overlap nothing; repeated rows are compared each for itself; an empty benchmark
     or table gives an empty result. Other columns are not read.
     """

@@ -270,6 +270,25 @@ def test_decontamination(spark):
     assert decontaminate.find_overlaps(docs_of(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_parts(spark):
+    """A part of a long item, and items with a word inserted, dropped, or written as two."""
+    rng = random.Random(18)
+    filler = lambda n: [("".join(rng.choice("abcdefgh") for _ in range(5))) for _ in range(n)]
+    items = [filler(n) for n in (100, 20, 20, 20, 12, 100, 12, 20)]
+    texts = [
+        filler(30) + items[0][20:75] + filler(30), filler(9) + items[1][:10] + ["new"] + items[1][10:] + filler(9), filler(9) + items[2][:10] + items[2][11:] + filler(9),
+        filler(9) + items[3][:10] + ["don't"] + items[3][11:] + filler(9), filler(9) + items[4][:6] + ["new"] + items[4][6:], filler(9) + items[5][:9] + filler(40) + items[5][60:69] + filler(9),
+        items[6][:3] + ["new"] + items[6][3:] + filler(9), items[7][:8] + ["new"] + items[7][8:12] + ["new"] + items[7][12:],
+    ]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    docs = docs_of(spark, [" ".join(x) for x in texts])
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.find_overlaps(docs, bench).collect()}
+    assert set(got) == {(i, i) for i in range(8) if i != 5} and all(0.8 <= r.similarity <= 1 for r in got.values())
+    assert (got[0, 0].doc_start, got[0, 0].doc_end, got[0, 0].matched) == (30, 85, 55)
+    assert [got[i, i].matched for i in (1, 2, 3, 4, 6, 7)] == [20, 19, 19, 12, 12, 20]
+    assert {r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()} == {5}
+
+
 def test_longest_overlap():
     def brute(same):
         best = None
