@@ -322,6 +322,20 @@ def test_passages(spark):
     assert passages.repeated_passages(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_two_passages_of_a_pair(spark):
+    """Two passages at the same distance in both texts, with other words between."""
+    rng = random.Random(19)
+    filler = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    texts = []
+    for k in range(12):
+        one, two, between = filler(60 + 20 * (k % 2)), filler(60), 50 + k
+        texts += [f"{filler(40)} {one} {filler(between)} {two} {filler(30)}", f"{filler(25)} {one} {filler(between)} {two} {filler(50)}"]
+    got = passages.repeated_passages(docs_of(spark, texts)).orderBy("doc_id", "start_word").collect()
+    first = [60 + 20 * (k % 2) for k in range(12)]
+    want = [x for k in range(12) for x in ((2 * k + 1, 2 * k, 25, 40), (2 * k + 1, 2 * k, 75 + first[k] + k, 90 + first[k] + k))]
+    assert [(r.doc_id, r.ref_doc_id, r.start_word, r.ref_start_word) for r in got] == want and all(r.n_same >= 60 for r in got)
+
+
 def test_chain_is_the_best_chain():
     def brute(w, r):
         best = [0.0] * len(w)
