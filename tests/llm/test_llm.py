@@ -336,6 +336,18 @@ def test_two_passages_of_a_pair(spark):
     assert [(r.doc_id, r.ref_doc_id, r.start_word, r.ref_start_word) for r in got] == want and all(r.n_same >= 60 for r in got)
 
 
+def test_passages_with_many_edits_share_seeds():
+    rng = np.random.default_rng(4)
+    word = lambda n: rng.integers(1, 1 << 62, n).astype(np.uint64)
+    lost = 0
+    for _ in range(200):
+        one, two = word(180), word(180)
+        two[60:120] = one[60:120]
+        two[60 + rng.choice(60, 9, replace=False)] = word(9)
+        lost += len(np.intersect1d(passages.minimizers(one)[0], passages.minimizers(two)[0])) < passages.LEAST_ANCHORS
+    assert lost <= 2
+
+
 def test_chain_is_the_best_chain():
     def brute(w, r):
         best = [0.0] * len(w)
