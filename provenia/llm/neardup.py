@@ -106,7 +106,10 @@ def _alike(pairs: DataFrame, similarity: float) -> DataFrame:
 
 
 def _compared(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``doc, rep`` that are alike."""
+    """The pairs ``doc, rep`` that are alike. Ids are stored first, so that Spark sees their size and moves only the sets asked for."""
+    pairs = stored(pairs, "pairs")
+    ids = stored(pairs.select("doc").unionByName(pairs.select(F.col("rep").alias("doc"))).distinct(), "asked")
+    known = stored(known.join(ids, "doc", "left_semi"), "compared")
     one = known.select("doc", F.col("hashes").alias("a"))
     two = known.select(F.col("doc").alias("rep"), F.col("hashes").alias("b"))
     return stored(_alike(pairs.join(one, "doc").join(two, "rep").select("doc", "rep", "a", "b"), similarity), "alike")
@@ -137,11 +140,15 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     repeat an id are one document. Null ids take no part.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null")
-    sets = stored(sets_of(texts).dropDuplicates(["doc"]), "sets").withColumn("whole", F.xxhash64("hashes", "n"))
+    own = sets_of(texts)
+    if not texts.groupBy("doc").count().where("count > 1").isEmpty():
+        own = own.dropDuplicates(["doc"])
+    sets = stored(own, "sets").withColumn("whole", F.xxhash64("hashes", "n"))
     copies = stored(sets.groupBy("whole").agg(F.min("doc").alias("rep"), F.max("doc").alias("last")).where("rep < last").drop("last"), "copies")
     equal = stored(sets.select("doc", "whole").join(copies, "whole").where("doc != rep").select("doc", "rep"), "equal")
-    known = stored(sets.select("doc", "hashes", "n").join(equal.select("doc"), "doc", "left_anti"), "known")
-    members = stored(prefixes(known, common_shingles(known), similarity), "members")
+    known = sets.select("doc", "hashes", "n")
+    gone = stored(equal.select("doc"), "gone")
+    members = stored(prefixes(known, common_shingles(known), similarity).join(gone, "doc", "left_anti").select("doc", "n", "key", "at"), "members")
     least = members.groupBy("key").agg(F.min(F.struct("doc", "n", "at")).alias("x"), F.max("doc").alias("last")).where("x.doc < last")
     shared = stored(members.join(least.select("key", F.col("x.doc").alias("rep"), F.col("x.n").alias("rep_n"), F.col("x.at").alias("rep_at")), "key"), "shared")
     near = shared.where("doc != rep").where(_possible("n", "at", "rep_n", "rep_at", similarity)).select("doc", "rep").distinct()
