@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -51,6 +52,12 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver forget ended steps, so that Spark deletes their shuffle files while a long operator goes on."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bytes_of(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a text column, without decoding."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

@@ -22,8 +22,10 @@ from provenia.llm.common import bytes_of
 
 #: Fixed masks: 1 compares the token, 0 ignores it. Any two substitutions inside a window of ten tokens leave one of them whole.
 MASKS = ("11111", "1101101", "1011011", "110011001", "1110000011")
-#: Fewest words of an item that takes part, of an overlap, and of a part of it on one diagonal; most words that one part lies off the next.
-LEAST_ITEM, LEAST_WORDS, LEAST_PART, MOST_SHIFT = 5, 12, 2, 8
+#: Items of up to so many words are their own seed and must occur whole and unchanged.
+SHORT = 4
+#: Fewest words of an overlap, and of a part of it on one diagonal; most words that one part lies off the next.
+LEAST_WORDS, LEAST_PART, MOST_SHIFT = 12, 2, 8
 #: Tokens of the items that one scan looks for: the bound on what is broadcast.
 BLOCK_TOKENS = 2_000_000
 #: Odd multipliers, one a position.
@@ -46,13 +48,14 @@ class SeedIndex:
         self.items: list[tuple[int, np.ndarray]] = []
         for item_id, raw in items:
             split = tokens(raw)
-            if len(split) >= LEAST_ITEM:
+            if split:
                 self.items.append((item_id, np.array([self.words.setdefault(w, len(self.words) + 1) for w in split], np.int64)))
         found: list[np.ndarray] = []
         for no, (_, ids) in enumerate(self.items):
-            for mask in range(len(MASKS)):
+            for mask in range(len(MASKS)) if len(ids) > SHORT else [-len(ids)]:
                 h = self.hashes(ids, mask)
                 found.append(np.stack([h.view(np.int64), np.full(len(h), no), np.arange(len(h))], axis=1))
+        self.masks = [*range(len(MASKS)), *sorted({-len(ids) for _, ids in self.items if len(ids) <= SHORT})]
         seeds = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
         order = np.argsort(seeds[:, 0], kind="stable")
         self.seeds, self.owner, self.place = seeds[order, 0], seeds[order, 1], seeds[order, 2]
@@ -62,12 +65,12 @@ class SeedIndex:
 
     @staticmethod
     def hashes(ids: np.ndarray, mask: int) -> np.ndarray:
-        """One hash a start position; positions under the mask's zeros do not enter it."""
-        pattern = MASKS[mask]
+        """One hash a start position; positions under the mask's zeros do not enter it. A negative ``mask`` is that many words in a row."""
+        pattern = MASKS[mask] if mask >= 0 else "1" * -mask
         n = len(ids) - len(pattern) + 1
         if n <= 0:
             return np.zeros(0, np.uint64)
-        x, h = ids.view(np.uint64), np.full(n, (mask + 1) << 40, np.uint64)
+        x, h = ids.view(np.uint64), np.full(n, (mask + SHORT + 1) << 40, np.uint64)
         for i, on in enumerate(pattern):
             if on == "1":
                 h = (h ^ x[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
@@ -95,7 +98,7 @@ class SeedIndex:
             flat += apart
         ids, owners = np.array(flat, np.int64), np.array(starts, np.int64)
         near: set[tuple[int, int, int]] = set()
-        for mask in range(len(MASKS)):
+        for mask in self.masks:
             h = self.hashes(ids, mask)
             at = np.flatnonzero(self.filled[(h >> self.shift).astype(np.int64)])
             if len(at):
@@ -114,7 +117,7 @@ class SeedIndex:
                     continue
                 same = ids[starts[d] + start + diagonal : starts[d] + end + diagonal] == item[start:end]
                 before = np.r_[0, np.cumsum(same)]
-                found += [(x + start, y + start, before[x : y + 1], diagonal) for x, y in overlap_runs(same, LEAST_PART)]
+                found += [(x + start, y + start, before[x : y + 1], diagonal) for x, y in overlap_runs(same, min(len(item), LEAST_PART))]
             return found
 
         hit: dict[tuple[int, int], set[int]] = {}
@@ -203,8 +206,9 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     An overlap is a run of words of the item of which at least 0.8 are the same in the text, in
     one part or in several that inserted or dropped words set off from one another by up to
     ``MOST_SHIFT``; it spans ``LEAST_WORDS`` words (or the whole item if that is shorter), be
-    the item as long as it may. Items of under ``LEAST_ITEM`` words take no part. Null and
-    empty texts overlap nothing; repeated rows are compared each for itself; an empty benchmark
+    the item as long as it may. Items of up to ``SHORT`` words are found where they occur whole
+    and unchanged, items without a word nowhere. Of the overlaps of a text with one item the one
+    with the most equal words counts, of equals the first in the text. Null and empty texts overlap nothing; repeated rows are compared each for itself; an empty benchmark
     or table gives an empty result. Other columns are not read.
     """
     schema = "doc_id long, item_id long, doc_start int, doc_end int, item_start int, item_end int, matched int, similarity double"

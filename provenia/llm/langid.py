@@ -16,14 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenia.llm.common import bytes_of, remainder
+from provenia.llm.common import bytes_of, map_batches, remainder
 
 WIDTHS, FILTERS, EMBED, WINDOW = (2, 3, 4), 16, 8, 256
 #: Labelled rows of each language that the network is trained on, at most, windows drawn from each, and parts a language is drawn in.
 SAMPLE_ROWS, WINDOWS_EACH, SALTS = 400, 3, 32
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]+")
 _CHUNK = 256
+_WORD = (1 << 64) - 1
 
 
 class ByteCNN:
@@ -110,6 +111,11 @@ class ByteCNN:
         return np.concatenate(out)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter (Unicode's categories L); numerals such as fractions are none."""
+    return any(c.isalpha() for run in _LETTER.finditer(text) for c in run[0])
+
+
 def windows_of(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All windows of all texts, A-Z lower-cased, and the number of windows of each text (none for empty ones)."""
     counts = np.array([-(-len(r) // WINDOW) for r in raws], np.int64)
@@ -125,7 +131,10 @@ def windows_of(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> ByteCNN | None:
     """Train on at most ``sample_rows`` labelled rows a language, drawn by a hash of the id; None without any.
 
-    Ids are drawn first; what is broadcast to the texts is bounded by that number times the languages.
+    Ids are drawn first; what is broadcast to the texts is bounded by that number times the languages
+    (the last draw of a language is one task of ``SALTS`` times as many ids at most). The executors
+    cut the windows, so that the driver gets ``WINDOWS_EACH`` windows of each drawn row at most, and
+    no more rows where ids repeat.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     usable = rows.where(F.col("lang").isNotNull() & (F.length("text") > 0))
@@ -134,18 +143,24 @@ def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         order = Window.partitionBy(*group).orderBy("place", "doc_id")
         keyed = keyed.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_rows)
     drawn = F.broadcast(keyed.select("doc_id", "lang", "place").distinct())
-    picked = usable.join(drawn, ["doc_id", "lang"]).select("lang", F.col("text").cast("binary").alias("raw"), "place")
-    sample = sorted((r[0], r[2], bytes(r[1])) for r in picked.toLocalIterator())
+
+    def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        cut = []
+        for place, raw in zip(batch.column(2).to_pylist(), bytes_of(batch.column(1)), strict=True):
+            own, _ = windows_of([raw])
+            at = np.random.default_rng([seed, place & _WORD]).choice(len(own), min(WINDOWS_EACH, len(own)), replace=False)
+            cut.append(own[at].tobytes())
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(cut, pa.binary())], names=["lang", "place", "windows"])
+
+    cut = map_batches(usable.join(drawn, ["doc_id", "lang"]).select("lang", "text", "place"), windows, "lang string, place long, windows binary")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "windows"))
+    sample = sorted((r[0], r[1], bytes(r[2])) for r in cut.withColumn("n", rank).where(F.col("n") <= sample_rows).toLocalIterator())
     if not sample:
         return None
     labels = sorted({r[0] for r in sample})
-    rng, xs, ys = np.random.default_rng(seed), [], []
-    for lang, _, raw in sample:
-        own, _ = windows_of([raw])
-        for i in rng.choice(len(own), min(WINDOWS_EACH, len(own)), replace=False):
-            xs.append(own[i])
-            ys.append(labels.index(lang))
-    return ByteCNN(labels, seed).train(np.stack(xs), np.array(ys), seed=seed)
+    xs = [np.frombuffer(raw, np.uint8).reshape(-1, WINDOW) for _, _, raw in sample]
+    ys = np.repeat([labels.index(lang) for lang, _, _ in sample], [len(x) for x in xs])
+    return ByteCNN(labels, seed).train(np.concatenate(xs), ys, seed=seed)
 
 
 def identify_language(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,7 +178,7 @@ def identify_language(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc
             for at in range(0, whole.num_rows, 64):
                 batch = whole.slice(at, 64)
                 raws = [r or b"" for r in bytes_of(batch.column(1))]
-                known = [model is not None and bool(_LETTER.search(r.decode(errors="replace"))) for r in raws]
+                known = [model is not None and has_letter(r.decode(errors="replace")) for r in raws]
                 pred, score = [UNKNOWN] * len(raws), [0.0] * len(raws)
                 picked = [i for i, k in enumerate(known) if k]
                 if picked:

@@ -4,13 +4,16 @@ Strong findings stand alone. Weak candidates (account names, opaque tokens, shor
 values, endpoints) are reported only where complementary parts meet: an interval join of the
 candidates' neighbourhoods inside one document, swept in order of position, must bring a
 secret together with an identifier or an endpoint. A scope ends with the document, so the join
-needs no shuffle and no text leaves its task.
+needs no shuffle and no text leaves its task. The join is two binary searches a candidate: of
+the intervals that start early enough, the one that ends last decides.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_right
+from collections.abc import Iterable
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,6 +39,25 @@ _HINTS = (b"user", b"login", b"account", b"client_id", b"key_id", b"asia", b"aro
 Span = tuple[str, int, int]
 
 
+class Intervals:
+    """Intervals in order of their starts, each with the latest end up to it."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        spans = sorted(spans)
+        self.starts = [a for a, _ in spans]
+        self.ends = list(accumulate((b for _, b in spans), max))
+
+    def meet(self, a: int, b: int) -> bool:
+        """Whether one of them starts at ``b`` at the latest and ends at ``a`` at the earliest."""
+        i = bisect_right(self.starts, b)
+        return i > 0 and self.ends[i - 1] >= a
+
+    def hold(self, a: int, b: int) -> bool:
+        """Whether one of them holds all from ``a`` to ``b``."""
+        i = bisect_right(self.starts, a)
+        return i > 0 and self.ends[i - 1] >= b
+
+
 def strong_spans(text: str, lowered: bytes) -> list[Span]:
     """Findings that need no company, leftmost and non-overlapping for each kind; ends are exclusive."""
     found: list[Span] = []
@@ -51,38 +73,28 @@ def linked_spans(text: str, lowered: bytes, strong: list[Span], reach: int) -> l
     """Weak candidates that lie within ``reach`` code points of a complementary part.
 
     An identifier or endpoint counts if a secret (strong or weak) is near, a weak secret if an
-    identifier or endpoint is near.
+    identifier or endpoint is near. No candidate overlaps a strong finding, and no weak secret
+    lies inside an identifier or endpoint.
     """
     if not any(h in lowered for h in _HINTS) and not any(k == "access" for k, _, _ in strong):
         return []
-    taken = sorted((a, b) for _, a, b in strong)
-    starts = [a for a, _ in taken]
+    taken = Intervals((a, b) for _, a, b in strong)
 
     def free(a: int, b: int) -> bool:
-        i = bisect_left(starts, b)
-        return not any(y > a for _, y in taken[max(0, i - 3) : i])
+        return not taken.meet(a + 1, b - 1)
 
     partners = [("identifier", *m.span()) for m in IDENTIFIER.finditer(text)] + [("endpoint", *m.span()) for m in ENDPOINT.finditer(text)]
     partners = [s for s in partners if free(*s[1:])]
-    anchors = sorted([(a, b) for _, a, b in partners] + [(a, b) for k, a, b in strong if k == "access"])
+    anchors = [(a, b) for _, a, b in partners] + [(a, b) for k, a, b in strong if k == "access"]
     if not anchors:
         return []
     weak = {m.span() for m in OPAQUE.finditer(text)} | {m.span() for m in SHORT.finditer(text)}
-    weak = [s for s in weak if free(*s) and not any(a <= s[0] and s[1] <= b for _, a, b in partners)]
-    secrets = sorted([*weak, *[(a, b) for k, a, b in strong if k != "access"]])
-
-    def near(span: tuple[int, int], others: list[tuple[int, int]], heads: list[int], longest: int) -> bool:
-        i = bisect_left(heads, span[0] - reach - longest)
-        while i < len(others) and heads[i] <= span[1] + reach:
-            if others[i][1] >= span[0] - reach and others[i] != span:
-                return True
-            i += 1
-        return False
-
-    heads_a, heads_s = [a for a, _ in anchors], [a for a, _ in secrets]
-    long_a, long_s = max(b - a for a, b in anchors), max((b - a for a, b in secrets), default=0)
-    out = [("secret", *s) for s in weak if near(s, anchors, heads_a, long_a)]
-    return out + [p for p in partners if near(p[1:], secrets, heads_s, long_s)]
+    within = Intervals((a, b) for _, a, b in partners)
+    weak = [s for s in weak if free(*s) and not within.hold(*s)]
+    known = Intervals(anchors)
+    secrets = Intervals([*weak, *[(a, b) for k, a, b in strong if k != "access"]])
+    out = [("secret", a, b) for a, b in weak if known.meet(a - reach, b + reach)]
+    return out + [p for p in partners if secrets.meet(p[1] - reach, p[2] + reach)]
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 200) -> DataFrame:

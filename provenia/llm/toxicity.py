@@ -73,7 +73,7 @@ class LabelModel:
             self.prior = float(np.clip(posterior.mean(), 1e-3, 1 - 1e-3))
             fires = np.stack([((1 - posterior) @ votes + 0.5) / ((1 - posterior).sum() + 1), (posterior @ votes + 0.5) / (posterior.sum() + 1)])
             self.fires = np.clip(fires, 1e-4, 1 - 1e-4)
-            if step == 4:
+            if step % 5 == 4:
                 self.share = self._shares(votes, posterior)
             posterior = self.posterior(votes)
         self.labels = posterior
@@ -149,12 +149,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     The drawn ids are bounded by that parameter, so they are broadcast to the texts. The driver
     holds hashes of their features; a second look at the same rows names the features that got a
-    weight. Without a row of either class nothing is learned and every score is 0.
+    weight. Rows that repeat an id count once, with the smallest of their texts; labels that repeat
+    one count as toxic if any is. Without a row of either class nothing is learned and every score is next to 0.
     """
     gold = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("gold")).where("id is not null and gold is not null")
     drawn = gold.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample_rows).groupBy("id").agg(F.max("gold").alias("gold"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = stored(texts.join(F.broadcast(drawn), "id").select("id", "gold", "text"), "labelled")
+    rows = stored(texts.join(F.broadcast(drawn), "id").groupBy("id", "gold").agg(F.min("text").alias("text")), "labelled")
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [hashed(features(t or "")).tobytes() for t in batch.column(2).to_pylist()]
@@ -192,7 +193,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more; columns stay as they are."""
+    """``docs`` without the rows that score ``threshold`` or more; columns stay as they are.
+
+    A null text is scored like an empty one, repeated rows each for itself, ids are not read. An empty table stays empty.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
