@@ -15,15 +15,20 @@ from pyspark.sql import functions as F
 #: ASCII white space, as in the classes of the query contracts.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: A hub of a graph has over a ``HUBS``-th of its edges; its edges are dealt to so many parts.
+HUBS, SALTS = 1000, 32
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where it is unset (local tests) a folder of this machine is made and set for the session.
+    Where it is unset, a folder of this machine is made and set for the session if Spark runs in
+    one process (tests); on a cluster that folder would not be shared, so it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="provenia-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -81,12 +86,26 @@ def remainder(doc_id: Column, divisor: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % divisor
 
 
+def _joined(rows: DataFrame, least: DataFrame, edges: int) -> DataFrame:
+    """``rows`` (``u, v``) with ``m`` of their ``u`` from ``least`` (``u, m, n``: ``n`` rows have this ``u``).
+
+    The rows of a hub are dealt to ``SALTS`` parts. A hub has over a ``HUBS``-th of the rows, so
+    the list of hubs that is broadcast has that many at most.
+    """
+    hub = F.col("n") > max(HUBS, edges // HUBS)
+    hubs = F.broadcast(least.where(hub).select("u", F.lit(True).alias("hub")))
+    salt = F.when(F.col("hub"), F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).otherwise(0)
+    salts = F.when(hub, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    own = rows.join(hubs, "u", "left").withColumn("salt", salt).drop("hub")
+    return own.join(least.select("u", "m", F.explode(salts).alias("salt")), ["u", "salt"]).select("u", "v", "m")
+
+
 def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame | None:
     """Connected components of an undirected graph of long ids: ``node, label`` with the smallest id as label.
 
     Alternating large-star and small-star rounds. Both use a pre-aggregated minimum and an
-    equi-join, never a collected neighbour list, so a hub of any degree is spread by the
-    partial aggregation and by the skew join. Every round is stored. None for no edges.
+    equi-join in which a hub of any degree is salted, never a collected neighbour list. Every
+    round is stored, and the round before it deleted. None for no edges.
     """
     now = stored(
         edges.where(F.col(src) != F.col(dst)).select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct(), "edges"
@@ -97,16 +116,17 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame |
         return None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        parent = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = _joined(both, least, 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        parent = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = (
-            large.join(parent, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            _joined(large, parent, before[0]).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(parent.select("u", F.col("m").alias("v"))).distinct()
         )
         after_df = stored(small, "edges")
         after = sign(after_df)
         done = after == before
+        discard(now)
         now, before = after_df, after
         if done:
             break

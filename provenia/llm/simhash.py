@@ -1,12 +1,12 @@
 """SimHash near-duplicate linking through a Gray-order hierarchical index.
 
-Fingerprints are bucketed by the bits of all but ``radius`` of their blocks (any two that
-differ in at most ``radius`` bits agree on some such choice), sorted by Gray rank inside a
-bucket, and cut into small leaf groups. A group keeps the bits that all its members share and
-a mask of those; upper nodes factor the shared masked patterns of the groups below. A search
-of the index with itself descends pairs of nodes and drops a pair as soon as the differences
-of the shared bits exceed the radius, or when both nodes already lie in one component. What
-leaves a bucket is a spanning forest, at most one edge a member, never its pairs.
+Fingerprints are sorted by Gray rank and cut into small leaf groups. A group keeps the bits that
+all its members share and a mask of those; upper nodes factor the shared masked patterns of the
+groups below. A search of the index with itself descends pairs of nodes and drops a pair as soon
+as the differences of the shared bits exceed the radius, or when both nodes already lie in one
+component. Many fingerprints are first dealt to buckets of thousands, an index each: any two that
+differ in at most ``radius`` bits agree on one of ``radius + 1`` blocks of bits, so on the first
+bits of it. What leaves a bucket is a spanning forest, at most one edge a member, never its pairs.
 """
 
 from __future__ import annotations
@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 
 from provenia.llm.common import bytes_of, components, map_batches, merge_labels, stored
 
-#: Members of a leaf group.
-LEAF = 32
+#: Members of a leaf group, and fingerprints that one index holds, about.
+LEAF, BUCKET = 16, 8192
 #: Rows that one call of the vectorised search takes at least, where the partition has them.
 SLAB = 1 << 16
+_TURN = 4096  # pairs of leaf groups compared at one go
 
 
 def shingle_hashes(raw: bytes, width: int) -> np.ndarray:
@@ -76,15 +77,30 @@ def gray_rank(fp: Column) -> Column:
     return fp
 
 
-def block_masks(blocks: int, radius: int) -> list[int]:
-    """Masks of the bits that a bucket shares: all choices of ``blocks - radius`` of the blocks, as signed longs."""
-    bounds = [64 * i // blocks for i in range(blocks + 1)]
-    parts = [((1 << bounds[i + 1]) - 1) ^ ((1 << bounds[i]) - 1) for i in range(blocks)]
-    return [(m := sum(parts[i] for i in chosen)) - (1 << 64) * (m >> 63) for chosen in combinations(range(blocks), blocks - radius)]
+def bucket_masks(count: int, radius: int) -> list[int]:
+    """Masks of the bits that a bucket shares, as signed longs: one for all, or the first bits of all choices of some of the blocks.
 
-
-def link_sorted(bucket: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
-    """Root index of each row: rows of one bucket (contiguous, in Gray order) within ``radius`` bits are united."""
+    Of ``radius + extra`` blocks any two fingerprints within the radius agree on ``extra``. As many bits are used as leave
+    ``BUCKET`` fingerprints a bucket, ``extra`` is as large as those bits need.
+    """
+    bits = max(0, (max(1, count) - 1) // BUCKET).bit_length()
+    if not bits:
+        return [0]
+    extra = next(e for e in range(1, 64) if 64 // (radius + e) * e >= min(bits, 32))
+    bounds = [64 * i // (radius + extra) for i in range(radius + extra + 1)]
+    masks = []
+    for chosen in combinations(range(radius + extra), extra):
+        held = [b for i in chosen for b in reversed(range(bounds[i], bounds[i + 1]))][:bits]
+        m = sum(1 << b for b in held)
+        masks.append(m - (1 << 64) * (m >> 63))
+    return masks
+
+
+def link_sorted(bucket: np.ndarray, fps: np.ndarray, radius: int, steps: list[tuple[int, int, int]] | None = None) -> np.ndarray:
+    """Root index of each row: rows of one bucket (contiguous, in Gray order) within ``radius`` bits are united.
+
+    ``steps`` gets the level, the pairs of nodes looked at and the pairs kept of every step down the indexes.
+    """
     n = len(fps)
     labels = np.arange(n)
     starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
@@ -100,11 +116,11 @@ def link_sorted(bucket: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
         labels = merge_labels(labels, np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
     for start, size in zip(starts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist(), strict=True):
         part = slice(start, start + size)
-        labels[part] = _search(fps[part], labels[part] - start, radius) + start
+        labels[part] = _search(fps[part], labels[part] - start, radius, steps) + start
     return labels
 
 
-def _search(fps: np.ndarray, labels: np.ndarray, radius: int) -> np.ndarray:
+def _search(fps: np.ndarray, labels: np.ndarray, radius: int, steps: list[tuple[int, int, int]] | None = None) -> np.ndarray:
     """Dual descent of the index of one bucket; the leaf groups' own pairs are united already."""
     n = len(fps)
     cuts = np.arange(0, n, LEAF)
@@ -123,6 +139,8 @@ def _search(fps: np.ndarray, labels: np.ndarray, radius: int) -> np.ndarray:
         pattern, mask = shared[level]
         one = uniform(level)
         keep = (np.bitwise_count((pattern[a] ^ pattern[b]) & mask[a] & mask[b]) <= radius) & ~((one[a] == one[b]) & (one[a] >= 0))
+        if steps is not None:
+            steps.append((level, len(a), int(keep.sum())))
         return a[keep], b[keep]
 
     a = b = np.zeros(1, np.int64)
@@ -138,14 +156,14 @@ def _search(fps: np.ndarray, labels: np.ndarray, radius: int) -> np.ndarray:
             x, y = open_pairs(level, left[~own], right[~own])
             a, b = np.r_[left[own], x], np.r_[right[own], y]
     lanes = np.arange(LEAF)
-    while len(a):
-        x, y = (a[:1024, None] * LEAF + lanes), (b[:1024, None] * LEAF + lanes)
+    for at in range(0, len(a), _TURN):
+        left, right = open_pairs(0, a[at : at + _TURN], b[at : at + _TURN])
+        x, y = left[:, None] * LEAF + lanes, right[:, None] * LEAF + lanes
         near = np.bitwise_count(fps[np.minimum(x, n - 1)][:, :, None] ^ fps[np.minimum(y, n - 1)][:, None, :]) <= radius
         near &= (x < n)[:, :, None] & (y < n)[:, None, :]
         k, i, j = np.nonzero(near)
         if len(k):
             labels = merge_labels(labels, x[k, i], y[k, j])
-        a, b = open_pairs(0, a[1024:], b[1024:])
     return labels
 
 
@@ -176,14 +194,13 @@ def _forest(radius: int):
 def link_fingerprints(nodes: DataFrame, radius: int = 3, max_bucket: int = 50_000) -> DataFrame:
     """Edges ``a, b`` that connect exactly what links of at most ``radius`` bits connect among distinct ``fp``.
 
-    The number of blocks follows the number of fingerprints, so that buckets stay small; the
-    result does not depend on it. A bucket above ``max_bucket`` is split by its most balanced
-    bits: two members within the radius differ in at most ``radius`` of these as well, so
-    every pair of parts that near is searched, in tasks of their own.
+    The number of buckets follows the number of fingerprints; the result does not depend on it.
+    A bucket above ``max_bucket`` is split by its most balanced bits: two members within the
+    radius differ in at most ``radius`` of these as well, so every pair of parts that near is
+    searched, in tasks of their own.
     """
     count = nodes.count()
-    blocks = radius + next(extra for extra, most in ((1, 16_000_000), (2, 2_000_000_000), (3, None)) if most is None or count <= most)
-    masks = block_masks(blocks, radius)
+    masks = bucket_masks(count, radius)
     table = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
     rows = nodes.select("fp", F.explode(table).alias("x")).select("x.t", "x.key", "fp")
     hot = rows.groupBy("t", "key").count().where(F.col("count") > max_bucket).drop("count")
