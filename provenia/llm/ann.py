@@ -25,7 +25,7 @@ from provenia.llm.common import map_batches, stored
 #: Vectors that the partitions are learned on, at most; neighbours of each in the graph; units of the hidden layer.
 SAMPLE_ROWS, GRAPH, HIDDEN = 8192, 10, 64
 #: Vectors of the sample in a part at least, least parts that a query visits, the recall that the number of visits is set for.
-PART_ROWS, LEAST_VISITS, RECALL = 8, 2, 0.92
+PART_ROWS, LEAST_VISITS, RECALL = 8, 2, 0.925
 #: Rows of a shelf, and queries compared at one go.
 SHELF_ROWS, TURN = 8192, 512
 
@@ -275,7 +275,7 @@ def nearest(vectors: DataFrame, k: int = 5, query_mod: int = 50, id_col: str = "
     router = fit_router(seen, parts, seed) if parts > 1 else Router(width[0], 1, seed)
     queries = stored(asked.groupBy("same", "v").agg(F.min("vec_id").alias("qkey")), "queries")
     spread = (recall * (1 - recall) / (k * max(1, queries.count()))) ** 0.5  # with few queries, chance alone lowers what they find
-    visits = max(min(parts, LEAST_VISITS), visits_for(router, seen, held_back, k, min(0.985, recall + 2 * spread), min(1.0, len(seen) / count))) if parts > 1 else 1
+    visits = max(min(parts, LEAST_VISITS), visits_for(router, seen, held_back, k, min(0.97, recall + 2 * spread), min(1.0, len(seen) / count))) if parts > 1 else 1
 
     def home(batch: pa.RecordBatch) -> pa.RecordBatch:
         to = router.route(_unit(_matrix(batch.column(1))), 1)[:, 0]
