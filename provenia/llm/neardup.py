@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenia.llm.common import bytes_of, components, discard, map_batches, release, stored
+from provenia.llm.shared import Extract, held_by_several
 from provenia.llm.simhash import fingerprint, link_fingerprints
 from provenia.llm.words import batches_of, mixed, run_hashes
 
@@ -81,25 +82,20 @@ def least_shared(n: int, similarity: float) -> int:
     return max(1, int(np.ceil(similarity * n - 1e-9)))
 
 
-def prefixes(texts: DataFrame, levels: np.ndarray, similarity: float, places: bool) -> DataFrame:
-    """``key, doc``, and with ``places`` ``n, at``: the first shingles of each text in one order of all, as many as two texts that are alike cannot both lack.
+def prefixes(levels: np.ndarray, similarity: float) -> Extract:
+    """The first shingles of each text in one order of all, as many as two texts that are alike cannot both lack; with the number of all and the place of each.
 
     Texts of ``n`` shingles that overlap by ``similarity`` share ``similarity * n`` of them at
     least, so they have one of the first ``n - similarity * n + 1`` in common, whatever the order.
     """
 
-    def of(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        out = []
-        for doc, h in zip(batch.column(0).to_pylist(), shingle_sets(bytes_of(batch.column(1))), strict=True):
+    def of(ids: np.ndarray, raws: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        for doc, h in zip(ids.tolist(), shingle_sets(raws), strict=True):
             n = len(h)
             first = h[np.argsort(levels[(h % np.uint64(COUNTERS)).astype(np.int64)], kind="stable")[: n - least_shared(n, similarity) + 1]]
-            own = (first.view(np.int64), np.full(len(first), doc, np.int64))
-            out.append((*own, np.full(len(first), n, np.int32), np.arange(len(first), dtype=np.int32)) if places else own)
-        if not out:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["key", "doc", "n", "at"][: len(out[0])])
+            yield first, np.full(len(first), doc, np.int64), np.full(len(first), n), np.arange(len(first))
 
-    return map_batches(texts, of, "key long, doc long, n int, at int" if places else "key long, doc long")
+    return of
 
 
 def _alike(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -150,9 +146,9 @@ def _labelled(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
 
 def _stars(shared: DataFrame, similarity: float) -> DataFrame:
     """Pairs ``doc, rep`` of each text with the smallest text that has a key of it and lies in another group."""
-    least = stored(shared.groupBy("key").agg(F.min(F.struct("doc", "n", "at", "label")).alias("x")), "least")
-    rep = least.select("key", F.col("x.doc").alias("rep"), F.col("x.n").alias("rep_n"), F.col("x.at").alias("rep_at"), F.col("x.label").alias("rep_label"))
-    return shared.join(rep, "key").where("label != rep_label").where(_possible("n", "at", "rep_n", "rep_at", similarity)).select("doc", "rep").distinct()
+    reps = shared.where("doc = ref").select("key", F.col("label").alias("ref_label"))
+    near = shared.where("doc != ref").where(_possible("n", "at", "ref_n", "ref_at", similarity))
+    return near.join(reps, "key").where("label != ref_label").select("doc", F.col("ref").alias("rep")).distinct()
 
 
 def _apart(shared: DataFrame, similarity: float) -> DataFrame:
@@ -194,13 +190,9 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     hashed = links.join(a, "a").join(b, "b").select(F.greatest("rep_a", "rep_b").alias("doc"), F.least("rep_a", "rep_b").alias("rep"))
     alike = _compared(hashed.unionByName(single.join(nodes, "fp").where("doc != rep").select("doc", "rep")).distinct(), texts, similarity)
 
-    levels = commonness(texts)
-    held = prefixes(texts, levels, similarity, False).groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key")
-    held = stored(held, "held")
-    release(spark)
-    shared = stored(prefixes(texts, levels, similarity, True).join(held, "key"), "members")
-    release(spark)
-    shared = stored(_labelled(shared.join(gone, "doc", "left_anti"), components(alike, "doc", "rep")), "shared")
+    members = held_by_several(texts, prefixes(commonness(texts), similarity), 0.04, "members")
+    members = members.withColumnsRenamed({"h": "key", "p": "n", "q": "at", "ref_p": "ref_n", "ref_q": "ref_at"}).join(gone, "doc", "left_anti")
+    shared = stored(_labelled(members, components(alike, "doc", "rep")), "shared")
     alike = alike.unionByName(_compared(_stars(shared, similarity), texts, similarity))
     groups = components(alike, "doc", "rep")
     if groups is not None:
