@@ -33,6 +33,27 @@ TITLE_SKIP = (
     "ARRANGEMENT OF", "AN ACT TO", "CHAPTER", "FOLLOWING ACT", "PASSED BY PARLIAMENT", "ASSENTED TO", "BE IT ENACTED", "ENACTED BY",
 )
 
+#: Patterns of citations. Acts and sections in prose, a section number, Buddhist-era years and their marks.
+ACT_NUMBER, SECTION_TOKEN, SECTION_NUMBER = r"\bact\s+([a-z]?\d+[a-z]?)\b", r"(?:section|sec\.?|s\.|§)\s*(\d+[a-z]?)\b", r"\b(\d+[A-Za-z]?)"
+BE_YEAR, BE_MARK, BE_MARK_THAI, NUMBER_MARK = r"\b(2[45]\d{2})\b", r"(?i)\s*B\.E\.?\s*$", r"\s*พ\.ศ\.\s*$", r"\bNo\.?\s*(\d)"
+#: Forms of a law's number, in order of precedence after an act of a year.
+ACT_OF_YEAR = r"\bAct\s+([A-Z]?\d+)\s+of\s+(\d{4})\b"
+NO_COMMA_YEAR = r"(?i)\b(?:Act\s+)?No\.?\s*(\d+)\s*,\s*(\d{4})\b"
+NO_OF_YEAR = r"(?i)\bNo\.?\s*(\d+)\s+of\s+(\d{4})\b"
+LAW_NO = r"(?i)\bLaw\s+No\.?\s*([A-Z0-9.-]+(?:/\d{2,4})?)\b"
+BE_REFERENCE = r"(?i)\bB\.?\s*E\.?\s*(25\d{2})\b"
+TITLE_REFERENCE = r"(?i)\(\s*Act\s+([A-Z]?\d{1,4})\s*\)"
+SIMPLE_ACT = r"(?i)\bAct\s+([A-Z]\d{1,4}|\d{1,3})\b(?!\s+of\b)"
+REVISED_EDITION = r"(?i)\b(\d{4})\s*(?:Rev\.?\s*)?(?:Ed\.?|Edition)\b"
+#: Evidence of an amendment, the words of titles that do not link a reference, and what is looked at.
+MONTHS = "Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?"
+EFFECTIVE = rf"(?i)\d{{1,2}}\s+(?:{MONTHS})\s+(\d{{4}})\s+Amended\s+by\b"
+STATED = r"(?is)(?:latest\s+amendment\s+made\s+by|includes\s+amendments?\s*:|incorporat(?:es|ing)\s+all\s+amendments\s+up\s+to(?:\s+and\s+including)?|last\s+amended(?:\s+on)?)(.{0,260})"
+AMENDING_ACT = r"(?i)\bAmended\s+by\s+Act\s+[A-Z]?\d+\s+of\s+(\d{4})\b"
+YEAR = r"\b(?:19|20)\d{2}\b"
+UNLINKED = ("statutes", "online", "singapore")
+META_CHARS, STATED_CHARS, EDITION_CHARS, COVER_CHARS = 100_000, 20_000, 10_000, 1000
+
 
 def absent(c: Column) -> Column:
     """Null for an empty match."""
@@ -71,16 +92,16 @@ def title_acronyms(c: Column) -> Column:
 
 
 def act_numbers(c: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"\bact\s+([a-z]?\d+[a-z]?)\b"), 1))
+    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(ACT_NUMBER), 1))
 
 
 def section_tokens(c: Column) -> Column:
     """Section numbers cited in prose, distinct, in order of appearance."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"(?:section|sec\.?|s\.|§)\s*(\d+[a-z]?)\b"), 1))
+    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(SECTION_TOKEN), 1))
 
 
 def first_section(c: Column) -> Column:
-    return absent(F.lower(F.regexp_extract(c, r"\b(\d+[A-Za-z]?)", 1)))
+    return absent(F.lower(F.regexp_extract(c, SECTION_NUMBER, 1)))
 
 
 def section_anchor(c: Column) -> Column:
@@ -114,28 +135,20 @@ def canonical_pillar(c: Column) -> Column:
 
 def be_years(c: Column) -> Column:
     """Buddhist-era years in a text, each with its Gregorian year."""
-    found = F.filter(F.regexp_extract_all(c, F.lit(r"\b(2[45]\d{2})\b"), 1), lambda y: y.cast("int").between(2400, 2599))
+    found = F.filter(F.regexp_extract_all(c, F.lit(BE_YEAR), 1), lambda y: y.cast("int").between(2400, 2599))
     return F.transform(found, lambda y: F.struct(y.alias("be"), (y.cast("int") - 543).alias("ce")))
 
 
 def convert_be_years(c: Column) -> Column:
     """The text with its Buddhist-era years replaced: the parts between the years, zipped with the new years."""
-    pattern = r"\b(?:2[45]\d{2})\b"
-    parts, years = F.split(c, pattern), F.regexp_extract_all(c, F.lit(pattern), 0)
+    parts, years = F.split(c, BE_YEAR), F.regexp_extract_all(c, F.lit(BE_YEAR), 0)
     return F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce((F.get(years, i).cast("int") - 543).cast("string"), F.lit("")))), "")
 
 
 def clean_reference(c: Column) -> Column:
-    c = F.trim(F.regexp_replace(c, r"(?i)\s*B\.E\.?\s*$", ""))
-    c = F.trim(F.regexp_replace(c, r"\s*พ\.ศ\.\s*$", ""))
-    return F.regexp_replace(F.regexp_replace(c, r"\bNo\.?\s*(\d)", "No. $1"), r"\s+", " ")
-
-
-def quoted_form(c: Column) -> Column:
-    """Lower case, with typographic quotes, dashes, ellipses and soft hyphens as their plain forms (without compatibility folding)."""
-    for a, b in QUOTED_ALIKE:
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return F.lower(c)
+    c = F.trim(F.regexp_replace(c, BE_MARK, ""))
+    c = F.trim(F.regexp_replace(c, BE_MARK_THAI, ""))
+    return F.regexp_replace(F.regexp_replace(c, NUMBER_MARK, "No. $1"), r"\s+", " ")
 
 
 @F.pandas_udf(StringType())
@@ -144,21 +157,29 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def quoted_form(c: Column) -> Column:
+    """Lower case, in compatibility form, with typographic quotes, dashes, ellipses and soft hyphens as their plain forms.
+
+    Only texts with a character beyond ASCII leave the JVM.
+    """
+    folded = F.coalesce(nfkc(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
+    for a, b in QUOTED_ALIKE:
+        folded = F.replace(folded, F.lit(a), F.lit(b))
+    return F.lower(folded)
+
+
 @F.pandas_udf(StringType())
 def title_case(texts: pd.Series) -> pd.Series:
     """A capital after every character that is no letter, as titles of cover pages want it; ``initcap`` differs."""
     return texts.map(lambda t: None if t is None else t.title())
 
 
-def squeezed(c: Column) -> Column:
-    return F.regexp_replace(quoted_form(c), r"\s+", "")
-
-
 def contains_verbatim(snippet: Column, text: Column) -> Column:
     """Single blanks, then no blanks, then the first 80 characters without blanks."""
-    snippet_c, snippet_s, text_s = collapse(quoted_form(snippet)), squeezed(snippet), squeezed(text)
-    loose = F.contains(text_s, snippet_s) | ((F.length(snippet_s) > 80) & F.contains(text_s, F.substring(snippet_s, 1, 80)))
-    return (snippet_s != "") & (F.contains(collapse(quoted_form(text)), snippet_c) | loose)
+    snippet, text = quoted_form(snippet), quoted_form(text)
+    bare, bare_text = (F.regexp_replace(c, r"\s+", "") for c in (snippet, text))
+    loose = F.contains(bare_text, bare) | ((F.length(bare) > 80) & F.contains(bare_text, F.substring(bare, 1, 80)))
+    return (bare != "") & (F.contains(collapse(text), collapse(snippet)) | loose)
 
 
 def unreadable_share(c: Column) -> Column:
@@ -183,38 +204,66 @@ def title_line(c: Column) -> Column:
     return F.get(F.filter(lines, lambda x: F.length(x).between(4, 99) & ~F.upper(x).rlike(skip) & F.upper(x).rlike(marks)), F.lit(0))
 
 
-def last_amended(text: Column, version_date: Column) -> Column:
-    """Latest year of amendment: what the version says, else the latest of the notes in the text."""
-    months = "(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
-    notes = F.concat(
-        F.regexp_extract_all(text, F.lit(rf"(?i)\d{{1,2}}\s+{months}\s+(\d{{4}})\s+amended\s+by\b"), 1),
-        F.regexp_extract_all(text, F.lit(r"(?i)\bamended\s+by\s+act\s+[a-z]?\d+\s+of\s+(\d{4})\b"), 1),
+def derived_title(text: Column, url: Column) -> Column:
+    """The title line, capitals as title case; else the last part of the URL's path in capitals; empty without either."""
+    line = title_line(text)
+    shouted = (F.upper(line) == line) & (F.lower(line) != line)
+    slug = F.upper(F.substring_index(F.element_at(F.split(F.rtrim(F.coalesce(url, F.lit("")), F.lit("/")), "/"), -1), "?", 1))
+    return F.coalesce(title_case(F.when(shouted, line)), line, slug)
+
+
+def version_year(url: Column) -> Column:
+    """Year of a version's address: of its date parameter, or of the date that ends its path twice over."""
+    query = F.regexp_extract(url, r"\?([^#]*)", 1)
+    asked = F.coalesce(*[absent(F.regexp_extract(query, rf"(?:^|&){name}=(\d{{4}})", 1)) for name in ("DocDate", "ValidDate")])
+    dates = F.regexp_extract_all(F.regexp_extract(url, r"^[^?#]*", 0), F.lit(r"/(\d{4})-\d{2}-\d{2}(?=/)"), 1)
+    last, before = F.try_element_at(dates, F.lit(-1)), F.try_element_at(dates, F.lit(-2))
+    return F.coalesce(asked, F.when(last == before, last))
+
+
+def last_amended(text: Column, url: Column) -> Column:
+    """Latest year of amendment: of dates before an amendment note, else of stated amendments, else of amending acts, else of the version's address."""
+    head = F.substring(F.coalesce(text, F.lit("")), 1, META_CHARS)
+    stated = F.regexp_extract_all(F.substring(head, 1, STATED_CHARS), F.lit(STATED), 1)
+    years = F.flatten(F.transform(stated, lambda c: F.regexp_extract_all(c, F.lit(YEAR), 0)))
+    return F.coalesce(
+        F.array_max(F.regexp_extract_all(head, F.lit(EFFECTIVE), 1)), F.array_max(years),
+        F.array_max(F.regexp_extract_all(head, F.lit(AMENDING_ACT), 1)), version_year(F.coalesce(url, F.lit(""))),
     )
-    return F.coalesce(absent(F.regexp_extract(version_date, r"^(\d{4})", 1)), F.array_max(notes))
 
 
-def law_number(title: Column, text: Column) -> Column:
-    """Reference of a law, by precedence of the forms it may take in the text and, last, in the title."""
-    def found(c: Column, pattern: str, form: str) -> Column:
-        one, two = F.regexp_extract(c, pattern, 1), F.regexp_extract(c, pattern, 2) if "{1}" in form else F.lit("")
-        pieces = form.replace("{0}", "\x00").replace("{1}", "\x01")
-        made, rest = [], ""
-        for ch in pieces:
-            if ch in "\x00\x01":
-                made += [F.lit(rest), one if ch == "\x00" else two]
-                rest = ""
-            else:
-                rest += ch
-        return F.when(one != "", F.concat(*made, F.lit(rest)))
+def act_of_year(title: Column, text: Column) -> Column:
+    """``Act n of year``, amending acts left out.
+
+    With a year in the title only acts of that year count, first those whose surroundings share
+    two words with the title (one, if it has only one); without it the first act.
+    """
+    cited = rf"(?i)(?<!Amended\s{{1,20}}by\s{{0,20}}){ACT_OF_YEAR}(?=([\s\S]{{0,180}}))"
+    number, year, after = (F.regexp_extract_all(text, F.lit(cited), i) for i in (1, 2, 3))
+    acts = F.arrays_zip(number.alias("number"), year.alias("year"), after.alias("after"))
+    own_year = F.try_element_at(F.regexp_extract_all(title, F.lit(YEAR), 0), F.lit(-1))
+    same = F.filter(acts, lambda a: own_year.isNull() | (a["year"] == own_year))
+    terms = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(title), F.lit("[a-z]{4,}"), 0), lambda w: ~w.isin(*UNLINKED)))
+    near = lambda a: F.size(F.array_intersect(terms, F.regexp_extract_all(F.lower(a["after"]), F.lit("[a-z]{4,}"), 0)))
+    linked = F.filter(same, lambda a: own_year.isNotNull() & (F.size(terms) > 0) & (near(a) >= F.least(F.size(terms), F.lit(2))))
+    best = F.coalesce(F.try_element_at(linked, F.lit(1)), F.try_element_at(same, F.lit(1)))
+    return F.concat(F.lit("Act "), F.upper(best["number"]), F.lit(" of "), best["year"])
 
+
+def law_number(title: Column, text: Column) -> Column:
+    """Reference of a law, by precedence of the forms it may take in the text, then in the title, on the cover, and as a revised edition."""
+    title, text = F.coalesce(title, F.lit("")), F.coalesce(text, F.lit(""))
+    part = lambda c, pattern, i=1: absent(F.regexp_extract(c, pattern, i))
+    cover, head = F.substring(text, 1, COVER_CHARS), F.substring(text, 1, EDITION_CHARS)
     return F.coalesce(
-        found(text, r"(?i)(?<!amended by )\bact\s+([A-Z]?\d+)\s+of\s+(\d{4})\b", "Act {0} of {1}"),
-        found(text, r"(?i)\b(?:act\s+)?no\.?\s*(\d+)\s*,\s*(\d{4})\b", "No. {0}, {1}"),
-        found(text, r"(?i)\bno\.?\s*(\d+)\s+of\s+(\d{4})\b", "No. {0} of {1}"),
-        found(text, r"(?i)\blaw\s+no\.?\s*([A-Z0-9.-]+(?:/\d{2,4})?)\b", "Law No. {0}"),
-        found(text, r"(?i)\bb\.?\s*e\.?\s*(25\d{2})\b", "B.E. {0}"),
-        found(title, r"(?i)\bact\s+([A-Z]\d{1,4}|\d{1,3})\b(?!\s+of\b)", "Act {0}"),
-        found(F.substring(text, 1, 1000), r"(?i)\bact\s+([A-Z]\d{1,4}|\d{1,3})\b(?!\s+of\b)", "Act {0}"),
+        act_of_year(title, text),
+        F.concat(F.lit("No. "), part(text, NO_COMMA_YEAR), F.lit(", "), part(text, NO_COMMA_YEAR, 2)),
+        F.concat(F.lit("No. "), part(text, NO_OF_YEAR), F.lit(" of "), part(text, NO_OF_YEAR, 2)),
+        F.concat(F.lit("Law No. "), part(text, LAW_NO)),
+        F.concat(F.lit("B.E. "), part(text, BE_REFERENCE)),
+        F.concat(F.lit("Act "), F.upper(part(title, TITLE_REFERENCE))),
+        F.concat(F.lit("Act "), F.upper(part(cover, SIMPLE_ACT))),
+        F.concat(part(head, REVISED_EDITION), F.lit(" Rev. Ed.")),
     )
 
 

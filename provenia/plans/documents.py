@@ -172,9 +172,8 @@ def pack_greedy(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def hard_split(spark: SparkSession, d: str) -> DataFrame:
     """Paragraphs, and the longer of them at their sentences, packed; in the JVM."""
-    sentences = chunking.pack(F.split("text", r"(?<=[.;])\s+"), chunking.MOST, " ")
-    pieces = F.when(F.length("text") <= chunking.MOST, F.array("text")).otherwise(sentences)
-    return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(pieces).alias("i", "piece")).select("doc_id", "i", F.length("piece").alias("n"))
+    rows = table(spark, d, "documents", "doc_id", "text").select("doc_id", F.posexplode(chunking.hard_pieces(F.col("text"))).alias("i", "piece"))
+    return rows.select("doc_id", "i", F.length("piece").alias("n"), F.sha2(F.col("piece").cast("binary"), 256).alias("piece"))
 
 
 @query()
@@ -217,12 +216,13 @@ def chunk_fixed(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), F.sha2(F.col("p").cast("binary"), 256).alias("piece"))
 
 
-@query("""select doc_id, text as kept from documents where not regexp_matches(text, '\\.{4,}') and not regexp_matches(text, '(?m)^\\s')""")
+@query(r"""with n as (select doc_id, 'Short title ........ 12' || chr(10) || 'Section 3A' || chr(10) || 'My Act' || chr(10) || '14 My Act' || chr(10) || coalesce(text, '') || chr(10) || 'My Act  15' || chr(10) || 'Compilation No. 4' as t from documents)
+    select doc_id, array_to_string(list_filter(string_split(t, chr(10)), lambda x: trim(x) = '' or not (regexp_matches(trim(x), '\.{4,}\s*\d+\s*$') or regexp_matches(trim(x), '(?i)^section\s+\d+[a-z]{0,3}$')
+        or regexp_matches(trim(x), '(?i)^(Compilation No\.|Compilation date|Includes amendments|Authorised Version|Prepared by the Office|Registered:|About this compilation|No table of contents)')
+        or regexp_matches(trim(x), '^(\d{1,4}\s+)?My Act(\s+\d{1,4})?$'))), chr(10)) as kept from n""")
 def strip_furniture(spark: SparkSession, d: str) -> DataFrame:
-    """What is added to the text as page furniture is what is stripped again."""
-    rows = table(spark, d, "documents", "doc_id", "text").where(~F.col("text").rlike(r"\.{4,}") & ~F.col("text").rlike(r"(?m)^\s"))
-    noisy = F.concat(F.lit("Short title ........ 12\nSection 3A\nMy Act\n14 My Act\n"), "text", F.lit("\nMy Act  15\nCompilation No. 4"))
-    return rows.select("doc_id", chunking.strip_furniture(noisy, F.lit("My Act")).alias("kept"))
+    noisy = F.concat(F.lit("Short title ........ 12\nSection 3A\nMy Act\n14 My Act\n"), F.coalesce("text", F.lit("")), F.lit("\nMy Act  15\nCompilation No. 4"))
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", chunking.strip_furniture(noisy, F.lit("My Act")).alias("kept"))
 
 
 # -- retrieval --------------------------------------------------------------------------------------------------------
@@ -452,12 +452,16 @@ def pred_portal_domain(spark: SparkSession, d: str) -> DataFrame:
     return quality.in_portals(rows, portals).select("s_suppkey", "in_portal")
 
 
-@query("""select doc_id, doc_id % 2 = 0 as verbatim from documents where length(text) > 30""")
+@query("""select doc_id, doc_id % 3 <> 1 as verbatim from documents""")
 def verbatim_contains(spark: SparkSession, d: str) -> DataFrame:
-    part = F.upper(F.translate(F.substring("text", 3, 25), "\n", "  "))
-    snippet = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("“"), F.regexp_replace(F.substring("text", 3, 25), r"\s+", "  "), F.lit("”"))).otherwise("zzqx zzqx")
-    text = F.concat(F.lit("\""), F.substring("text", 3, 25), F.lit("\" "), "text")
-    return table(spark, d, "documents", "doc_id", "text").where("length(text) > 30").select("doc_id", T.contains_verbatim(snippet, text).alias("verbatim"))
+    """Half of every text is the quotation: blanks doubled and quotes curled, run together, or with a word before it that the text lacks."""
+    text = F.coalesce("text", F.lit(""))
+    half = F.substring(text, F.lit(1), (F.length(text) / 2 + 1).cast("int"))
+    spaced = F.concat(F.lit("“ﬁne "), F.regexp_replace(half, r"\s+", "  "), F.lit("”"))
+    run = F.concat(F.lit("“fine"), F.regexp_replace(half, r"\s+", ""), F.lit("”"))
+    snippet = F.when(F.col("doc_id") % 3 == 0, spaced).when(F.col("doc_id") % 3 == 2, run).otherwise(F.concat(F.lit("zzqx "), half))
+    whole = F.concat(F.lit('so "fine '), half, F.lit('" '), text)
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", T.contains_verbatim(snippet, whole).alias("verbatim"))
 
 
 @query("""with c as (select conv_id, string_agg(text, ' ' order by turn) as hay, min(text) as first, max(turn) as last from conversations group by 1)

@@ -186,29 +186,46 @@ def law_ref_clean(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders", "o_orderkey").select("o_orderkey", T.clean_reference(F.concat(F.lit("Act  No.   "), F.col("o_orderkey"), F.lit("/2024  b.e."))).alias("ref"))
 
 
-@query("""select o_orderkey, case o_orderkey % 4 when 0 then 'Act ' || o_custkey || ' of 2012' when 1 then 'No. ' || o_custkey || ', 2020' when 2 then 'Law No. 27/2022' else 'Act A' || (o_custkey % 1000) end as ref from orders""")
+#: Texts, titles and addresses of laws from a key; the same expressions in both dialects.
+_LAW_TITLE = "case when o_orderkey % 2 = 0 then concat('Personal Data Protection Act 2012 (Act A', o_custkey % 1000, ')') else 'Straits Code' end"
+_LAW_TEXT = """concat(case when o_orderkey % 3 = 0 then concat('Amended by Act 9 of 2012. Act 8 of 2012 is another. Act ', o_custkey, ' of 2012 is the Personal Data one. Act 77 of 2015. ') else 'Nothing. ' end,
+    case when o_orderkey % 5 = 0 then concat('It is No. ', o_custkey, ', 2020. ') else '' end, case when o_orderkey % 7 = 0 then concat('Under Law No. ', o_custkey, '/2022 so. ') else '' end,
+    case when o_orderkey % 11 = 0 then '2020 Rev. Ed.' else '' end)"""
+_AMENDED_TEXT = """concat('Cover. ', case when o_orderkey % 2 = 0 then concat('1 June ', 1990 + o_orderkey % 17, ' Amended by Act 5 of ', 2000 + o_orderkey % 9, '. 3 May ', 1990 + o_custkey % 19, ' amended by Act 6 of 2001. ') else '' end,
+    case when o_orderkey % 3 = 0 then concat('Last amended on 4 July ', 1980 + o_orderkey % 30, ' and ', 1980 + o_custkey % 30, '. ') else '' end, case when o_orderkey % 5 = 0 then concat('Amended by Act A7 of ', 2000 + o_custkey % 20) else '' end)"""
+_AMENDED_URL = """case when o_orderkey % 7 = 0 then concat('https://e.org/Act/X?ProvIds=1&DocDate=', 1995 + o_orderkey % 25, '0101') when o_orderkey % 7 = 1 then concat('https://e.org/C2/', 2001 + o_custkey % 20, '-06-04/', 2001 + o_custkey % 20, '-06-04/text/pdf')
+    when o_orderkey % 7 = 2 then 'https://e.org/C2/2020-06-04/2021-06-04/text' else 'https://e.org/x' end"""
+
+
+@query("""select o_orderkey, case when o_orderkey % 3 = 0 and o_orderkey % 2 = 0 then 'Act 8 of 2012' when o_orderkey % 3 = 0 then 'Act 8 of 2012'
+    when o_orderkey % 5 = 0 then 'No. ' || o_custkey || ', 2020' when o_orderkey % 7 = 0 then 'Law No. ' || o_custkey || '/2022' when o_orderkey % 2 = 0 then 'Act A' || o_custkey % 1000
+    when o_orderkey % 11 = 0 then '2020 Rev. Ed.' end as ref from orders""")
 def law_number_ref(spark: SparkSession, d: str) -> DataFrame:
-    n = F.col("o_custkey")
-    text = F.element_at(F.array(F.concat(F.lit("Amended by Act 9 of 2019. Act "), n, F.lit(" of 2012 says")), F.concat(F.lit("It is No "), n, F.lit(", 2020")), F.lit("this Law No. 27/2022 on"), F.lit("nothing")), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    return table(spark, d, "orders", "o_orderkey", "o_custkey").select("o_orderkey", T.law_number(F.concat(F.lit("Data (Act A"), n % 1000, F.lit(")")), text).alias("ref"))
+    return table(spark, d, "orders", "o_orderkey", "o_custkey").select("o_orderkey", T.law_number(F.expr(_LAW_TITLE), F.expr(_LAW_TEXT)).alias("ref"))
 
 
-@query("""select o_orderkey, case when o_orderkey % 3 = 0 then '2026' when o_orderkey % 3 = 1 then (2000 + o_orderkey % 20)::varchar else null end as year from orders""")
+@query(rf"""with t as (select o_orderkey, {_AMENDED_TEXT} as t, {_AMENDED_URL} as u from orders)
+    select o_orderkey, coalesce(list_max(regexp_extract_all(t, '(?i)\d+ (?:june|may|july) (\d{{4}}) amended by', 1)),
+        list_max(flatten(list_transform(regexp_extract_all(t, '(?i)last amended on(.{{0,260}})', 1), lambda c: regexp_extract_all(c, '(?:19|20)\d\d')))),
+        list_max(regexp_extract_all(t, '(?i)amended by act [a-z]?\d+ of (\d{{4}})', 1)),
+        nullif(regexp_extract(u, 'DocDate=(\d{{4}})', 1), ''), case when regexp_extract(u, 'C2/(\d{{4}})', 1) = regexp_extract(u, '/(\d{{4}})-06-04/text', 1) then nullif(regexp_extract(u, 'C2/(\d{{4}})', 1), '') end) as year from t""")
 def last_amended_year(spark: SparkSession, d: str) -> DataFrame:
-    text = F.when(F.col("o_orderkey") % 3 == 2, "no note").otherwise(F.concat(F.lit("1 June 1999 Amended by Act 5. Amended by Act 7 of "), 2000 + F.col("o_orderkey") % 20))
-    return table(spark, d, "orders", "o_orderkey").select("o_orderkey", T.last_amended(text, F.when(F.col("o_orderkey") % 3 == 0, "2026-06-04").otherwise("")).alias("year"))
+    return table(spark, d, "orders", "o_orderkey", "o_custkey").select("o_orderkey", T.last_amended(F.expr(_AMENDED_TEXT), F.expr(_AMENDED_URL)).alias("year"))
 
 
-@query("""select p_partkey, case when p_partkey % 2 = 0 then 'Privacy Act ' || p_partkey else null end as title from part""")
+@query("""select p_partkey, case p_partkey % 3 when 0 then 'Privacy Act ' || p_partkey when 1 then 'The Privacy Act ' || p_partkey else 'X' || p_partkey end as title from part""")
 def derive_title(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat(F.lit("REVISED EDITION OF THE ACT\n  hi\n"), "p_name", F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("\n Privacy Act "), F.col("p_partkey"))).otherwise(""), F.lit("\nend"))
-    return table(spark, d, "part", "p_partkey", "p_name").select("p_partkey", T.title_line(text).alias("title"))
+    line = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("\n Privacy Act "), F.col("p_partkey"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("\nTHE PRIVACY ACT "), F.col("p_partkey"))).otherwise("")
+    text = F.concat(F.lit("REVISED EDITION OF THE ACT\n  hi\n"), "p_name", line, F.lit("\nend"))
+    url = F.concat(F.lit("https://e.org/acts/x"), F.col("p_partkey"), F.lit("?a=1"))
+    return table(spark, d, "part", "p_partkey", "p_name").select("p_partkey", T.derived_title(text, url).alias("title"))
 
 
-@query("""select doc_id, sha256(trim(regexp_replace(lower(replace(replace(text, '—', '-'), '’', '''')), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'), ' ')) as form from documents where regexp_matches(text, '^[\\x00-\\x7F]*$')""")
+@query("""select doc_id, sha256(trim(regexp_replace(lower(replace(replace(replace(replace(replace(coalesce(text, ''), '—', '-'), '–', '-'), '’', ''''), '‘', ''''), '…', '...') || ' five iv k2'), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'), ' ')) as form from documents""")
 def text_norm(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents", "doc_id", "text").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return rows.select("doc_id", F.sha2(T.collapse(T.quoted_form(F.col("text"))).cast("binary"), 256).alias("form"))
+    """Every text, with a ligature, a Roman numeral and full-width letters at its end."""
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" ﬁve Ⅳ Ｋ２"))
+    return table(spark, d, "documents", "doc_id", "text").select("doc_id", F.sha2(T.collapse(T.quoted_form(text)).cast("binary"), 256).alias("form"))
 
 
 @query("""select doc_id, case when trim(text) = '' then 1.0 else least(len(regexp_extract_all(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f]'))::double / length(text), 1.0) end as cer from documents""")
