@@ -99,3 +99,32 @@ def dedup_apply_join(rows: DataFrame, key: str, apply) -> DataFrame:
     size whether the result is broadcast.
     """
     return rows.join(apply(rows.select(key).distinct()), key, "left")
+
+
+#: The note on unsure records, what stands for no act, and how a no-barrier row begins.
+REVIEW_NOTE = "Recommend human review — OCR/translation source"
+NO_ACT, NO_ARTICLE, NO_FINDING = ("", "nan", "none", "—", "-", "n/a"), ("", "N/A"), "[No qualifying"
+
+
+def with_review_note(notes: Column, confidence: Column, note: str = REVIEW_NOTE) -> Column:
+    """The note once on records below the threshold; records without a confidence are left alone."""
+    return F.when(confidence < REVIEW_BELOW, T.append_note(notes, F.lit(note))).otherwise(notes)
+
+
+def has_act(c: Column) -> Column:
+    return ~F.lower(F.trim(F.coalesce(c.cast("string"), F.lit("")))).isin(*NO_ACT)
+
+
+def is_null_row(article: Column, snippet: Column) -> Column:
+    """Whether a row only says that an indicator was assessed."""
+    return F.upper(F.trim(F.coalesce(article, F.lit("")))).isin(*NO_ARTICLE) | F.trim(F.coalesce(snippet, F.lit(""))).startswith(NO_FINDING)
+
+
+def is_target(article: Column, text: Column, section: Column, phrases: Column) -> Column:
+    """Whether a chunk is the one a probe looks for: by its section, or by a phrase it holds."""
+    return (F.lower(F.coalesce(article, F.lit(""))) == F.lower(section)) | T.any_term(text, phrases)
+
+
+def with_content(rows: DataFrame, blobs: DataFrame, url: str = "source_url") -> DataFrame:
+    """The bytes fetched for each row's URL, where there are any."""
+    return rows.join(blobs.select(url, "content"), url, "left")

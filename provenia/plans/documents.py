@@ -553,7 +553,8 @@ def provider_cascade(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def stream_run_state(spark: SparkSession, d: str) -> DataFrame:
-    return runs.fold_batch(table(spark, d, "events", "user_id", "event_id", "event_type"), "user_id", "event_id", "event_type")
+    kinds = ("signup", "view", "click", "purchase")
+    return runs.fold_batch(table(spark, d, "events", "user_id", "event_id", "event_type"), "user_id", "event_id", "event_type", (tuple((k, k) for k in kinds), kinds, "view"))
 
 
 @query("""select time_bucket(interval '1 day', ts) as start, event_type, count(*) as n from events group by all""")

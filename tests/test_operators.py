@@ -1,14 +1,19 @@
 """Behaviour on small rows: the cases that the queries' tables do not hold."""
 
 import math
+import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from provenia.functions import text as T
 from provenia.functions import urls as U
-from provenia.operators import chunking, dedup, html, identity, lexical, providers, quality, retrieval, scoring
+from provenia.operators import chunking, dedup, html, identity, lexical, providers, quality, retrieval, scoring, sinks
+from provenia.sources import config, files
 from provenia.streaming import runs
 
+RULES = (tuple((k, k) for k in ("signup", "view", "click", "purchase")), ("signup", "view", "click", "purchase"), "view")
+
 
 def one(spark, column, **values):
     return spark.createDataFrame([tuple(values.values())], list(values)).select(column.alias("x")).first()[0]
@@ -133,7 +138,121 @@ def test_stream_matches_batch(spark, tmp_path):
     lines = spark.createDataFrame(rows, "user_id long, event_id long, event_type string")
     lines.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(lines.schema).parquet(str(tmp_path / "in"))
-    q = runs.fold_stream(stream, "user_id", "event_id", "event_type").writeStream.outputMode("update").format("memory").queryName("runs").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q = runs.fold_stream(stream, "user_id", "event_id", "event_type", RULES).writeStream.outputMode("update").format("memory").queryName("runs").option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
-    assert sorted(map(tuple, spark.table("runs").collect())) == sorted(map(tuple, runs.fold_batch(lines, "user_id", "event_id", "event_type").collect()))
+    assert sorted(map(tuple, spark.table("runs").collect())) == sorted(map(tuple, runs.fold_batch(lines, "user_id", "event_id", "event_type", RULES).collect()))
+
+
+def test_hard_split_is_the_same_in_both_forms(spark, data):
+    texts = ["a. " * 900, "x" * 5000, "one.\n\n" + "two; " * 500 + "\n\n\nthree", "", " \n\n ", *[r.text for r in spark.read.parquet(f"{data}/documents.parquet").select("text").where("text is not null").collect()]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = rows.select("i", chunking.hard_pieces(F.col("t")).alias("h"), chunking.target_pieces(F.col("t")).alias("p")).collect()
+    for r in got:
+        assert r.h == chunking.hard_split(texts[r.i]) and r.p == chunking.to_target(texts[r.i])
+
+
+def test_articles_without_furniture():
+    """A running header is no article boundary, and the title at the foot of a page no text."""
+    body = "It is an offence to disclose personal data without consent of the individual. " * 2
+    text = f"PART I\nSection 1. {body}\nSection 1\n14 My Act\nMy Act  15\nmore of it here\n2. {body}\n3A {body}"
+    got = chunking.chunk(text, "My Act", [])
+    assert [c[2] for c in got] == ["1", "2", "3A"] and "more of it here" in got[0][3] and "14 My Act" not in got[0][3]
+
+
+def test_retrieval_of_documents(spark):
+    chunks = spark.createDataFrame([(1, i, f"chunk {i} " + ("apple pie " * 3 if i in (2, 5) else "plain words "), str(i)) for i in range(8)] + [(2, 0, "nothing", "0")], "doc_id long, seq int, text string, section string")
+    questions = spark.createDataFrame([("q", "apple pie", ["chunk 5"]), ("r", "pear", [])], "query string, question string, keywords array<string>")
+    asked = spark.createDataFrame([("q",), ("unknown",)], "query string")
+    seeds = spark.createDataFrame([("q", 1, "7"), ("q", 1, "2")], "query string, doc_id long, section string")
+    got = retrieval.retrieve(chunks, questions, asked, seeds, providers.hashed_embedding).orderBy("doc_id", "rank").collect()
+    one = [r for r in got if r.doc_id == 1]
+    assert {r["query"] for r in got} == {"q"} and [r["seq"] for r in one[:2]] == [5, 2] and len({r["seq"] for r in one}) == len(one) == 8
+    assert one[0]["context"].startswith("chunk 4") and "chunk 6" in one[0]["context"] and [r["rank"] for r in one] == list(range(1, 9))
+    lacking = retrieval.inject(spark.createDataFrame([("q", 1, 0, 3.0, 1)], "query string, doc_id long, seq int, score double, rank int"), seeds, chunks, by=["doc_id"])
+    assert [(r.seq, r.score, r.method) for r in lacking.orderBy("rank").collect()] == [(2, 4.0, "seed"), (7, 4.0, "seed"), (0, 3.0, "retrieved")]
+
+
+def test_round_robin_takes_shared_items_once(spark):
+    items = spark.createDataFrame([(t, u, i) for i, (t, u) in enumerate([("a", "1"), ("b", "2"), ("c", "3"), ("d", "4"), ("x", "9"), ("e", "5")])], "title string, url string, rank int")
+    groups = spark.createDataFrame([("g1", "a"), ("g2", "a"), ("g2", "b"), ("g1", "c"), ("g1", "d")], "grp string, title string")
+    assert [r.url for r in dedup.round_robin(items, groups, 3).collect()] == ["1", "2", "3"]
+    assert [r.url for r in dedup.round_robin(items, groups, 5).collect()] == ["1", "2", "3", "4", "9"]
+    assert dedup.round_robin(items, groups, 6).count() == 6
+
+
+def test_providers(tmp_path):
+    class One:
+        name, model = "one", "m1"
+
+        def __init__(self, answer, up=True):
+            self.answer, self.up, self.calls = answer, up, 0
+
+        def available(self):
+            return self.up
+
+        def complete(self, prompt):
+            self.calls += 1
+            if isinstance(self.answer, Exception):
+                raise self.answer
+            return self.answer
+
+    good, down, dead = One('{"ok": true}'), One("", False), One(providers.Unavailable("quota"))
+    assert providers.pinned([down, good]) is good and providers.version(good, "ocr") == "one/m1 + ocr" and providers.version(None) == "unknown/unknown"
+    with pytest.raises(providers.NoProvider):
+        providers.pinned([down])
+    assert providers.smoke_check(good) == (True, "one") and not providers.smoke_check(One("prose"))[0] and not providers.smoke_check(dead)[0]
+    latched = providers.Latched(dead)
+    with pytest.raises(providers.Unavailable):
+        latched.complete("x")
+    assert not latched.available() and providers.Latched(good).available() and not providers.Latched(good, 0).available()
+
+
+def test_configuration(spark, tmp_path):
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e/sg.json").write_text('{"economy_name": "Singapore", "iso_code": "sg", "languages": ["en"], "portals": [{"name": "p", "url": "u"}]}')
+    (tmp_path / "e/au.json").write_text('{"economy_name": "Australia", "iso_code": "AU", "languages": []}')
+    rows = config.economies(spark, str(tmp_path / "e"))
+    assert config.economy(rows, " singapore ").first().iso_code == "SG" and config.economy(rows, "au").first().economy_name == "Australia"
+    with pytest.raises(config.UnknownEconomy, match="Singapore"):
+        config.economy(rows, "Singapor")
+    assert {r.economy_name: list(r.w) for r in rows.select("economy_name", config.economy_violations().alias("w")).collect()} == {"Singapore": [], "Australia": ["languages must not be empty", "at least one portal is required"]}
+    (tmp_path / "t.json").write_text('[{"indicator_id": "P6-I1", "probe_keywords": ["a"]}, {"indicator_id": "P6-I2"}]')
+    assert [(r.name, r.probe_keywords) for r in config.taxonomy(spark, str(tmp_path / "t.json")).orderBy("indicator_id").collect()] == [("", ["a"]), ("", [])]
+    assert config.first_file(spark, [str(tmp_path / "none"), str(tmp_path / "t.json")]) == str(tmp_path / "t.json")
+    assert config.key_of({"LLM_API_KEY": "b", "X": " "}, "X") == "b" and config.key_of({"X": "a", "LLM_API_KEY": "b"}, "X") == "a" and config.key_of({}, "X") == ""
+
+
+def test_word_processor_files(spark, tmp_path):
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    p = lambda t, s="": f"<w:p><w:pPr><w:pStyle w:val='{s}'/></w:pPr><w:r><w:t>{t}</w:t></w:r></w:p>"
+    body = p("My Act", "Title") + p("Part", "h2") + p("Some text") + "<w:tbl><w:tr><w:tc>" + p("a") + "</w:tc><w:tc>" + p("b") + "</w:tc></w:tr></w:tbl>"
+    with zipfile.ZipFile(tmp_path / "data_act.docx", "w") as z:
+        z.writestr("word/document.xml", f"<w:document xmlns:w='{w}'><w:body>{body}</w:body></w:document>")
+        z.writestr("word/styles.xml", f"<w:styles xmlns:w='{w}'><w:style w:styleId='h2'><w:name w:val='heading 2'/></w:style></w:styles>")
+    (tmp_path / "broken.docx").write_bytes(b"nothing")
+    got = {r.path.rpartition("/")[2]: r for r in files.docx_files(spark, str(tmp_path)).collect()}
+    assert got["data_act.docx"].text == "My Act\nPart\nSome text\na | b" and [tuple(h) for h in got["data_act.docx"].headings] == [(0, "My Act"), (2, "Part")]
+    assert got["broken.docx"].text is None and "BadZipFile" in got["broken.docx"].error
+    assert {r.act_title for r in files.given_files(spark, str(tmp_path), "SG").collect()} == {"Data Act", "Broken"}
+
+
+def test_written_tables(spark, data, tmp_path):
+    from provenia import engine
+    from provenia.plans import documents as queries
+
+    records = queries._records(spark, data).limit(200).withColumn("verbatim_snippet", F.lit('a "quoted", line\nand more'))
+    counts = engine.write(records, queries._INDICATORS, str(tmp_path))
+    assert counts["written"] > 0 and counts["written"] + counts["skipped"] == 200
+    again = sinks.read_csv(spark, f"{tmp_path}/records_csv")
+    assert again.columns == list(quality.COLUMNS) and again.count() == counts["written"] and {r[0] for r in again.select("verbatim_snippet").collect()} == {'a "quoted", line\nand more'}
+    docs = spark.createDataFrame([("u1", bytearray(b"x")), ("u2", bytearray(b"x")), ("u3", None)], "source_url string, content binary")
+    kept = {r.source_url: r.archive_url for r in sinks.snapshots(docs, f"{tmp_path}/snap").collect()}
+    assert kept["u1"] == kept["u2"] and kept["u3"] is None and spark.read.parquet(f"{tmp_path}/snap").count() == 1
+
+
+def test_progress_lines():
+    state = (-1, 0, 0, 0)
+    for line in ("→ Loading economy config", "✓ Seed data — 3", "→ Fetching — a", "RAG retrieval", "noise", "→ Fetching — b", "Outputs written — 3 records"):
+        state = runs.advance(state, line)
+    assert state == (runs.STAGES.index("write"), 7, 6, 1)
