@@ -12,12 +12,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Turns of a block, and speakers that are never the assistant but keep their role.
-BLOCK_TURNS, KEPT_ROLES = 64, ("system",)
+#: Turns of a block, turn numbers that are counted together, and speakers that are never the assistant but keep their role.
+BLOCK_TURNS, SLICE_TURNS, KEPT_ROLES = 64, 4096, ("system",)
 #: The frame around a turn.
 OPEN, MIDDLE, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
 
 
+def harmless(c: Column) -> Column:
+    """Marks inside a text with a blank in them, so that no text can open or close a turn."""
+    return F.regexp_replace(c, r"<\|(im_start|im_end)\|>", "< |$1|>")
+
+
 def heading(speaker: Column, perspective: Column) -> Column:
     """What stands before a turn's text: its role, and the name of a speaker who is a user."""
     role = (
@@ -36,7 +41,9 @@ def rotate(
     ``spans`` holds start and end (code points, end exclusive) of the texts of the assistant's
     turns within ``text``, the closing mark included: these carry loss, all else is masked. Turns are in order of
     their number, then speaker, then text; repeated rows are repeated turns, kept in full. A turn without
-    a number comes first. A null speaker is the participant ``unknown``, a null text is empty,
+    a number comes first. Turns are counted in slices of their numbers and gathered in blocks, so no
+    task sorts or holds a whole conversation. Marks inside texts and names are written with a blank in
+    them, line ends in names as blanks. A null speaker is the participant ``unknown``, a null text is empty,
     a null conversation is one of its own. ``system`` keeps its role and has no perspective; a
     conversation with no other speaker gives no rows. Names are not changed, so a speaker called
     ``assistant`` is a named user in the others' perspectives. Other columns are not read. An
@@ -44,10 +51,15 @@ def rotate(
     """
     rows = turns.select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"),
-        F.coalesce(F.col(role_col).cast("string"), F.lit("unknown")).alias("speaker"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-    )
-    order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "speaker", "text")
-    placed = rows.withColumn("place", F.row_number().over(order) - 1).withColumn("block", F.floor(F.col("place") / block_turns).cast("int"))
+        harmless(F.translate(F.coalesce(F.col(role_col).cast("string"), F.lit("unknown")), "\r\n", "  ")).alias("speaker"),
+        harmless(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text"),
+    ).withColumn("slice", F.floor(F.col("turn") / SLICE_TURNS))
+    sizes = rows.groupBy("conv_id", "slice").agg(F.count("*").alias("n"))
+    ahead = F.sum("n").over(Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("slice"))) - F.col("n")
+    starts = sizes.select(F.col("conv_id").alias("of"), F.col("slice").alias("in"), ahead.alias("ahead"))
+    order = Window.partitionBy("conv_id", "slice").orderBy(F.asc_nulls_first("turn"), "speaker", "text")
+    numbered = rows.withColumn("own", F.row_number().over(order) - 1).join(starts, F.col("conv_id").eqNullSafe(F.col("of")) & F.col("slice").eqNullSafe(F.col("in")))
+    placed = numbered.withColumn("place", F.col("ahead") + F.col("own")).withColumn("block", F.floor(F.col("place") / block_turns).cast("int"))
     blocks = placed.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list(F.struct("place", "speaker", "text"))).alias("said"))
     people = rows.where(~F.col("speaker").isin(*KEPT_ROLES)).select(F.col("conv_id").alias("of"), F.col("speaker").alias("perspective")).distinct()
     seen = blocks.join(people, F.col("conv_id").eqNullSafe(F.col("of")))

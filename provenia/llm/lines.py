@@ -1,11 +1,10 @@
-"""Line de-duplication against a sharded minimal perfect hash of the repeated lines.
+"""Line de-duplication against a sharded minimal perfect hash of all distinct lines.
 
 A line's key is its text without ASCII white space at both ends, A-Z lower-cased, held as a
-128-bit hash. Keys are counted with map-side combining; those found in two documents or more
-are dealt to shards, and each shard becomes a minimal perfect hash (levels of bit arrays with
-rank counts) over compact arrays: a 64-bit fingerprint, the count, and the smallest document.
-Documents send the hashes of their lines past the arrays of the shard, in a stream that holds
-one shard at a time, and get back the keys to drop.
+128-bit hash. Distinct keys are dealt to shards, and each shard becomes a minimal perfect hash
+(levels of bit arrays with rank counts) over compact arrays: a 64-bit fingerprint, the count of
+documents, and the smallest document. Documents send the hashes of their lines past the arrays
+of the shard, in a stream that holds one shard at a time; the counts say which lines are repeated.
 """
 
 from __future__ import annotations
@@ -18,14 +17,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenia.llm.common import bytes_of, map_batches, stored
+from provenia.llm.common import bytes_of, discard, map_batches, stored
 
-#: Keys of a shard, on average, and the least number of shards.
-SHARD_KEYS, LEAST_SHARDS = 16_384, 64
-#: Tasks that share the lines sent to one shard, so that a key that most documents hold is no single task's work.
-SALTS = 8
+#: Distinct keys of a shard, on average, and the least number of shards.
+SHARD_KEYS, LEAST_SHARDS = 1 << 17, 64
+#: Lines that one task sends past a shard, about: a shard with more (a key that very many documents hold) is shared by several tasks.
+TASK_LINES = 1 << 19
 _LAST_ID = (1 << 63) - 1
 _PART = "bits binary, ranks binary, sizes binary, fps binary, counts binary, firsts binary"
+_COLUMNS = [x.split()[0] for x in _PART.split(", ")]
 
 
 def line_key(line: bytes, least: int) -> bytes | None:
@@ -106,15 +106,16 @@ def _build_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         index = PerfectHash.build(h1, h2)
         at = index.find(h1, h2)
         fps, counts, firsts = np.empty(len(at), np.uint64), np.empty(len(at), np.uint32), np.empty(len(at), np.int64)
-        fps[at], counts[at], firsts[at] = h2, np.minimum(rows[:, 2], (1 << 32) - 1), rows[:, 3]
+        held = np.where(rows[:, 3] < rows[:, 4], rows[:, 2], 1)  # rows that repeat an id are one document
+        fps[at], counts[at], firsts[at] = h2, np.minimum(held, (1 << 32) - 1), rows[:, 3]
         parts = [index.bits, index.ranks, index.sizes, fps, counts, firsts]
-        names = ["shard", "bits", "ranks", "sizes", "fps", "counts", "firsts"]
-        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in parts]], names=names)
+        arrays = [pa.array([shard], pa.int32()), pa.array([int(rows[:, 2].sum())], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in parts]]
+        return pa.RecordBatch.from_arrays(arrays, names=["shard", "lines", *_COLUMNS])
 
     shard, held = None, []
     for batch in batches:
         of = batch.column(0).to_numpy()
-        rows = np.stack([batch.column(i).to_numpy() for i in range(1, 5)], axis=1)
+        rows = np.stack([batch.column(i).to_numpy() for i in range(1, 6)], axis=1)
         cuts = np.r_[0, np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)]
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if of[a] != shard:
@@ -128,7 +129,7 @@ def _build_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each shard's arrays come first, then the lines sent to it, in as many batches as they take."""
-    shard, index, fps, firsts = None, None, None, None
+    shard, index, fps, counts, firsts = None, None, None, None, None
     for batch in batches:
         of, is_line = batch.column(0).to_numpy(), batch.column(2).to_numpy()
         cuts = np.r_[0, np.flatnonzero((of[1:] != of[:-1]) | (is_line[1:] != is_line[:-1])) + 1, len(of)]
@@ -137,36 +138,37 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 part = [batch.column(6 + i)[a].as_py() for i in range(6)]
                 shard = of[a]
                 index = PerfectHash(np.frombuffer(part[0], np.uint64), np.frombuffer(part[1], np.uint32), np.frombuffer(part[2], np.int64))
-                fps, firsts = np.frombuffer(part[3], np.uint64), np.frombuffer(part[5], np.int64)
+                fps, counts, firsts = np.frombuffer(part[3], np.uint64), np.frombuffer(part[4], np.uint32), np.frombuffer(part[5], np.int64)
             elif of[a] == shard:
                 doc, h1, h2 = (batch.column(i).slice(a, b - a).to_numpy() for i in (3, 4, 5))
                 at = index.find(h1.view(np.uint64), h2.view(np.uint64))
-                drop = (at >= 0) & (fps[at] == h2.view(np.uint64)) & (firsts[at] != doc)
+                drop = (at >= 0) & (fps[at] == h2.view(np.uint64)) & (counts[at] > 1) & (firsts[at] != doc)
                 if drop.any():
                     yield pa.RecordBatch.from_arrays([pa.array(x[drop]) for x in (doc, h1, h2)], names=["doc_id", "h1", "h2"])
 
 
 def shards_of(keys: DataFrame) -> tuple[DataFrame, int]:
-    """The index of the keys that two documents or more hold (one row a shard), and the number of shards."""
-    seen = keys.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    repeated = stored(seen.where("first < last").drop("last"), "repeated")
-    shards = max(LEAST_SHARDS, -(-repeated.count() // SHARD_KEYS))
-    rows = repeated.select(F.pmod("h1", F.lit(shards)).cast("int").alias("shard"), "h1", "h2", "n", "first")
-    built = rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(_build_shards, f"shard int, {_PART}")
-    return stored(built, "shards"), shards
+    """The index of all distinct keys (one row a shard, with the number of lines that ask it), and the number of shards."""
+    seen = stored(keys.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "distinct")
+    shards = max(LEAST_SHARDS, -(-seen.count() // SHARD_KEYS))
+    rows = seen.select(F.pmod("h1", F.lit(shards)).cast("int").alias("shard"), "h1", "h2", "n", "first", "last")
+    built = stored(rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(_build_shards, f"shard int, lines long, {_PART}"), "shards")
+    discard(seen)
+    return built, shards
 
 
 def lines_to_drop(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10) -> DataFrame:
     """``doc_id, drops``: the keys that each document loses, for those that lose any (the largest long stands for a null id)."""
     keys = line_keys(docs, id_col, text_col, least)
     index, shards = shards_of(keys)
-    salts = F.explode(F.array(*[F.lit(i) for i in range(SALTS)]))
+    tasks = (F.col("lines") / TASK_LINES).cast("int") + 1
     none = F.lit(None)
-    arrays = index.select("shard", salts.alias("salt"), F.lit(0).alias("is_line"), *[none.cast("long").alias(c) for c in ("doc_id", "h1", "h2")], *[F.col(c.split()[0]) for c in _PART.split(", ")])
-    lines = keys.select(
-        F.pmod("h1", F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(1).alias("is_line"),
-        "doc_id", "h1", "h2", *[none.cast("binary").alias(c.split()[0]) for c in _PART.split(", ")],
-    )
+    arrays = index.select("shard", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("salt"), F.lit(0).alias("is_line"), *[none.cast("long").alias(c) for c in ("doc_id", "h1", "h2")], *_COLUMNS)
+    # a row for each TASK_LINES lines at most
+    shared = F.broadcast(index.where(F.col("lines") >= TASK_LINES).select("shard", tasks.alias("tasks")))
+    asking = keys.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int")).join(shared, "shard", "left")
+    salt = F.pmod(F.xxhash64("doc_id"), F.coalesce("tasks", F.lit(1))).cast("int")
+    lines = asking.select("shard", salt.alias("salt"), F.lit(1).alias("is_line"), "doc_id", "h1", "h2", *[none.cast("binary").alias(c) for c in _COLUMNS])
     sent = arrays.unionByName(lines).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "is_line")
     dropped = sent.mapInArrow(_probe, "doc_id long, h1 long, h2 long")
     return dropped.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
