@@ -21,8 +21,8 @@ from provenia.llm.common import bytes_of, discard, map_batches, stored
 
 #: Distinct keys of a shard, on average, and the least number of shards.
 SHARD_KEYS, LEAST_SHARDS = 1 << 17, 64
-#: Lines that one task sends past a shard, about: a shard with more (a key that very many documents hold) is shared by several tasks.
-TASK_LINES = 1 << 19
+#: A shard that more than a ``HOT``-th of all lines ask, and twice as many as the others (a key that very many documents hold), is shared by several tasks.
+HOT = 1024
 _LAST_ID = (1 << 63) - 1
 _PART = "bits binary, ranks binary, sizes binary, fps binary, counts binary, firsts binary"
 _COLUMNS = [x.split()[0] for x in _PART.split(", ")]
@@ -161,11 +161,13 @@ def lines_to_drop(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``doc_id, drops``: the keys that each document loses, for those that lose any (the largest long stands for a null id)."""
     keys = line_keys(docs, id_col, text_col, least)
     index, shards = shards_of(keys)
-    tasks = (F.col("lines") / TASK_LINES).cast("int") + 1
+    total = index.agg(F.sum("lines")).first()[0] or 0
+    most = max(1, 2 * total // shards, total // HOT)
+    tasks = F.floor(F.col("lines") / most).cast("int") + 1
     none = F.lit(None)
     arrays = index.select("shard", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("salt"), F.lit(0).alias("is_line"), *[none.cast("long").alias(c) for c in ("doc_id", "h1", "h2")], *_COLUMNS)
-    # a row for each TASK_LINES lines at most
-    shared = F.broadcast(index.where(F.col("lines") >= TASK_LINES).select("shard", tasks.alias("tasks")))
+    # HOT rows at most
+    shared = F.broadcast(index.where(F.col("lines") >= most).select("shard", tasks.alias("tasks")))
     asking = keys.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int")).join(shared, "shard", "left")
     salt = F.pmod(F.xxhash64("doc_id"), F.coalesce("tasks", F.lit(1))).cast("int")
     lines = asking.select("shard", salt.alias("salt"), F.lit(1).alias("is_line"), "doc_id", "h1", "h2", *[none.cast("binary").alias(c) for c in _COLUMNS])

@@ -187,9 +187,8 @@ def test_gray_index_prunes_nodes():
     assert len(near) >= 500 and all(root[a] == root[b] for a, b in near) and len(set(root.tolist())) >= len(fps) - len(near)
 
 
-def test_lines_that_many_documents_hold(spark, monkeypatch):
+def test_lines_that_many_documents_hold(spark):
     """A line of nearly all documents, dealt to several tasks; long texts; columns with the operator's own names."""
-    monkeypatch.setattr(lines, "TASK_LINES", 16)
     common = "a line that all of them hold"
     texts = [f"{common}\nown line number {i}\n  {common.upper()}" for i in range(100)] + ["x" * 100_000 + "\n" + common, "y\n" * 20_000 + common]
     got = {r.doc_id: r.text for r in lines.dedup_lines(wide(spark, texts)).collect()}
