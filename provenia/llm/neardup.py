@@ -26,7 +26,7 @@ from provenia.llm.words import batches_of, mixed, run_hashes
 #: Words of a shingle, least similarity, bits in which linked fingerprints may differ.
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 3
 #: Counters of the sketch that says how common a shingle is, of one row of it, and steps in which a count doubles.
-COUNTERS, COUNTERS_ROW, STEPS = 1 << 20, 1 << 14, 4
+COUNTERS, COUNTERS_ROW, STEPS = 1 << 18, 1 << 14, 4
 
 
 def shingle_sets(raws: list[bytes | None]) -> Iterator[np.ndarray]:
@@ -57,7 +57,7 @@ def commonness(texts: DataFrame) -> np.ndarray:
     rows = COUNTERS // COUNTERS_ROW
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
+        total = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
             for own in shingle_sets(bytes_of(batch.column(1))):
                 np.add.at(total, (own % np.uint64(COUNTERS)).astype(np.int64), 1)
@@ -67,7 +67,7 @@ def commonness(texts: DataFrame) -> np.ndarray:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for row, raw in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1)), strict=True):
-                held[row] = held.get(row, 0) + np.frombuffer(raw, np.int64)
+                held[row] = held.get(row, 0) + np.frombuffer(raw, np.uint32).astype(np.int64)
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["row", "counts"])
 

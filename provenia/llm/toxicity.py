@@ -38,6 +38,7 @@ LEXICON = (
 PATTERNS = (r"!{3,}", r"\byou (?:are|re) (?:a|an|so|such)\b", r"\b[A-Z]{4,}(?: [A-Z]{4,}){2,}\b", r"\bshut up\b", r"\bgo away\b", r"\bkill yourself\b")
 _PATTERNS = [re.compile(p) for p in PATTERNS]
 _WORD = re.compile(r"[^\W\d_]+")
+_TURN = 512  # texts that are taken out of a batch at one go
 
 
 def features(text: str) -> set[str]:
@@ -200,8 +201,10 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", th
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([model.score(t or "") < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+        for whole in batches:
+            for start in range(0, whole.num_rows, _TURN):
+                batch = whole.slice(start, _TURN)
+                yield batch.filter(pa.array([model.score(t or "") < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
