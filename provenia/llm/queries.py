@@ -7,16 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenia.llm import langid, lines, mixing, toxicity
+from provenia.llm import langid, lines, mixing, phrases, toxicity
 from provenia.llm.ann import nearest
 from provenia.llm.chat import rotate
-from provenia.llm.common import remainder
+from provenia.llm.common import WORD_PATTERN, remainder
 from provenia.llm.decontaminate import find_overlaps
 from provenia.llm.lines import dedup_lines
 from provenia.llm.mixing import mix_sources
 from provenia.llm.passages import repeated_passages
+from provenia.llm.periods import periodic_runs
+from provenia.llm.phrases import collocations
 from provenia.llm.secrets import scan_secrets
 from provenia.llm.simhash import simhash_components
+from provenia.llm.urls import judge_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,9 +83,43 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_language(docs, model).select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op11_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``, with the words of every tenth document (by the crc32 ``h`` of its id) repeated from a word on.
+
+    With ``g = floor(h / 10)``, ``a = g % n`` and ``p = 1 + floor((n - a) / (3 + g % 8))``, each of
+    the ``n`` words from number ``a`` on becomes the original word ``a + (i - a) % p``.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(f"({WORD_PATTERN})"))).alias("words"))
+    chosen = chosen.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, (F.col("g") % F.col("n")).cast("int")))
+    left = F.col("n") - F.col("a")
+    p = (1 + F.floor(left / (3 + F.col("g") % 8))).cast("int")
+    again = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, p), F.ceil(left / p).cast("int")))
+    words = F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(again, F.lit(1), left))
+    return chosen.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(words, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_periods(_table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "strongest.start", "strongest.length", "strongest.period",
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.SQL, "op6_lines": lines.SQL}
+    return {"op2_mixing": mixing.SQL, "op6_lines": lines.SQL, "op13_phrases": phrases.SQL}
