@@ -6,7 +6,7 @@ import importlib
 
 from provenia.plans.registry import BUILDERS, SQL, Builder
 
-MODULES = ("scalar", "relational", "documents", "engine")
+MODULES = ("scalar", "relational", "documents", "engine", "progress")
 
 
 def queries() -> dict[str, Builder]:
