@@ -6,7 +6,7 @@ import importlib
 
 from provenia.plans.registry import BUILDERS, SQL, Builder
 
-MODULES = ("scalar", "relational", "documents", "engine", "progress", "discovery")
+MODULES = ("scalar", "relational", "documents", "engine", "progress", "discovery", "surface")
 
 
 def queries() -> dict[str, Builder]:
