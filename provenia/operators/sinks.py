@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenia.operators.quality import COLUMNS, violations
+from provenia.operators.settled import settled
 
 #: The byte-order mark.
 MARK = "\ufeff"
@@ -59,11 +60,23 @@ def diagnostics(found: DataFrame, by: list[str], fields: list[str], name: str) -
 
 
 def snapshots(documents: DataFrame, path: str) -> DataFrame:
-    """Write the fetched bytes under their hash and return ``source_url, archive_url``; documents without bytes have none."""
-    kept = documents.where("content is not null").select("source_url", F.sha2("content", 256).alias("sha"), "content")
-    kept.dropDuplicates(["sha"]).select("sha", "content").write.mode("append").parquet(path)
-    names = documents.select("source_url", F.sha2("content", 256).alias("sha"))
-    return names.select("source_url", F.when(F.col("sha").isNotNull(), F.concat(F.lit(f"{path}#"), "sha")).alias("archive_url"))
+    """Keep the fetched bytes under their hash and return ``source_url, archive_url``; documents without bytes have none.
+
+    Only what the archive lacks is written: the hashes of the documents are joined against those
+    it lists, contents are read for the rest alone. Running it again adds no file, and a run that
+    broke off has added nothing, so it is safe to repeat.
+    """
+    spark = documents.sparkSession
+    named = documents.select("source_url", F.sha2("content", 256).alias("sha"))
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    begun = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    wanted = named.where("sha is not null").select("sha").distinct()
+    lacking = wanted.join(spark.read.schema("sha string, content binary").parquet(path).select("sha"), "sha", "left_anti") if begun else wanted
+    lacking = settled(lacking)
+    if not lacking.isEmpty():
+        kept = documents.where("content is not null").select(F.sha2("content", 256).alias("sha"), "content").join(lacking, "sha", "left_semi")
+        kept.groupBy("sha").agg(F.first("content").alias("content")).write.mode("append").parquet(path)
+    return named.select("source_url", F.when(F.col("sha").isNotNull(), F.concat(F.lit(f"{path}#"), "sha")).alias("archive_url"))
 
 
 def log_lines(events: DataFrame, time: str, level: str = "INFO") -> DataFrame:

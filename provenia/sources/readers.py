@@ -57,6 +57,35 @@ def newest(files: DataFrame, group: str, time: str, value: str) -> DataFrame:
     return files.groupBy(group).agg(F.max_by(value, F.struct(time, value)).alias(value))
 
 
+def newest_files(spark: SparkSession, folder: str, group: str, glob: str = "*") -> DataFrame:
+    """``grp, path, modified``: of the files below a folder the newest of each group, the group being what the first parentheses of ``group`` match in the name.
+
+    Only the files' own metadata are looked at. Files with the same time: the last name counts; files that do not match are left out.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder)
+    name, time = F.col("_metadata.file_name"), F.col("_metadata.file_modification_time")
+    listed = files.select(F.regexp_extract(F.url_decode(name), group, 1).alias("grp"), F.col("_metadata.file_path").alias("path"), time.alias("modified")).where("grp != ''")
+    return listed.groupBy("grp").agg(F.max(F.struct("modified", "path")).alias("f")).select("grp", "f.path", "f.modified")
+
+
+def newest_rows(spark: SparkSession, folder: str, group: str, glob: str = "*.csv", **options: object) -> DataFrame:
+    """The rows of the newest CSV file of each group, with its ``grp``; no other file is opened. The driver holds a path for each group."""
+    chosen = {r.path: r.grp for r in newest_files(spark, folder, group, glob).collect()}
+    if not chosen:
+        raise FileNotFoundError(f"no file below {folder} matches {group!r}")
+    read = spark.read.options(**{"header": True, "encoding": "UTF-8", "multiLine": True, "escape": '"'} | options)
+    rows = read.csv([_taken(p) for p in chosen])
+    rows = rows.withColumn("grp", F.regexp_extract(F.url_decode(F.col("_metadata.file_name")), group, 1))
+    return rows.toDF(*[c.removeprefix("\ufeff") for c in rows.columns])
+
+
+def _taken(path: str) -> str:
+    """A path as Spark reports it, as Spark takes it."""
+    from urllib.parse import unquote
+
+    return unquote(path)
+
+
 def first_valid(versions: DataFrame, key: str, date: str, valid: str, tries: int = 10) -> DataFrame:
     """The newest version that is valid among the newest ``tries`` of each key."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(date)))
