@@ -52,18 +52,18 @@ def join_known_tag(spark: SparkSession, d: str) -> DataFrame:
 _DOMAIN = "regexp_extract(lower(url), '([a-z0-9-]+[.][a-z0-9-]+)(?:[/?#:]|$)', 1)"
 
 
-@query(f"""with p as (select {_DOMAIN} as domain, page_id from pages), f as (select domain, min(page_id) as portal from p where page_id < 100 group by domain)
+@query(f"""with p as (select {_DOMAIN} as domain, page_id from pages), f as (select domain, min(page_id) as portal from p group by domain)
     select p.domain, f.portal, count(*) as n from p left join f using (domain) group by all""")
 def join_portal_audit(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages", "page_id", "url")
-    portals = pages.where("page_id < 100").select(U.registered_domain(F.col("url")).alias("domain"), F.col("page_id").alias("portal"), F.col("page_id").alias("pos"))
+    portals = pages.select(U.registered_domain(F.col("url")).alias("domain"), F.col("page_id").alias("portal"), F.col("page_id").alias("pos"))
     return identity.first_portal(pages, portals).groupBy("domain", "portal").agg(F.count("*").alias("n"))
 
 
 _FUZZY_STOP = ", ".join(f"'{w}'" for w in T.TITLE_STOPWORDS)
 
 
-@query(f"""with k as (select distinct lower(p_name) as key from part where p_partkey % 4 = 0), n as (select distinct p_name || ' Act 2012' as name, lower(p_name) || ' act' as norm from part where p_partkey <= 400),
+@query(f"""with k as (select distinct lower(p_name) as key from part), n as (select distinct p_name || ' Act 2012' as name, lower(p_name) || ' act' as norm from part),
     kw as (select key, list_distinct(list_filter(regexp_extract_all(key, '[a-z0-9]+'), lambda w: w not in ({_FUZZY_STOP}))) as b from k),
     nw as (select name, norm, list_distinct(list_filter(regexp_extract_all(lower(name), '[a-z0-9]+'), lambda w: w not in ({_FUZZY_STOP}) and not regexp_matches(w, '^[0-9]+$'))) as a from n),
     j as (select name, key, case when norm = key then 0 when len(list_intersect(a, b)) = least(len(a), len(b)) and least(len(a), len(b)) >= 2 then 3
@@ -71,8 +71,8 @@ _FUZZY_STOP = ", ".join(f"'{w}'" for w in T.TITLE_STOPWORDS)
     r as (select *, row_number() over (partition by name order by rule, key) as n from j where rule is not null)
     select name, key, rule from r where n = 1""")
 def join_fuzzy_title(spark: SparkSession, d: str) -> DataFrame:
-    names = table(spark, d, "part", "p_partkey", "p_name").where("p_partkey <= 400").select(F.concat("p_name", F.lit(" Act 2012")).alias("name"))
-    keys = table(spark, d, "part", "p_partkey", "p_name").where("p_partkey % 4 = 0").select(F.lower("p_name").alias("key"))
+    names = table(spark, d, "part", "p_name").select(F.concat("p_name", F.lit(" Act 2012")).alias("name"))
+    keys = table(spark, d, "part", "p_name").select(F.lower("p_name").alias("key"))
     return identity.match_titles(names, keys)
 
 
@@ -90,14 +90,14 @@ def join_provision_tag(spark: SparkSession, d: str) -> DataFrame:
 @query("""with m as (select b.item_id, d.doc_id, row_number() over (partition by b.item_id order by d.doc_id) as n from benchmark b join documents d on contains(d.text, b.text))
     select b.item_id, m.doc_id from benchmark b left join m on b.item_id = m.item_id and n = 1""")
 def join_snippet_chunk(spark: SparkSession, d: str) -> DataFrame:
-    """First document that contains a snippet: blocked on the snippet's rarest-looking word, its longest, instead of testing all pairs."""
+    """First document that contains a snippet: blocked on the longest word inside it instead of testing all pairs. A snippet of one or two words has none and is not looked for."""
     items = table(spark, d, "benchmark", "item_id", "text")
-    words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"\S+"), 0))
+    words = lambda c: F.regexp_extract_all(c, F.lit(r"\S+"), 0)
     longest = F.max_by(F.col("w"), F.struct(F.length("w"), F.col("w")))
-    keyed = items.select("item_id", "text", F.explode(F.filter(F.slice(words(F.col("text")), 2, 1000), lambda w: F.length(w) > 0)).alias("w"))
-    inner = keyed.where(F.contains("text", F.concat(F.lit(" "), "w", F.lit(" ")))).groupBy("item_id", "text").agg(longest.alias("w"))
+    listed = items.withColumn("ws", words(F.trim("text"))).where("size(ws) > 2")
+    inner = listed.select("item_id", "text", F.explode(F.slice("ws", F.lit(2), F.size("ws") - 2)).alias("w")).groupBy("item_id", "text").agg(longest.alias("w"))
     docs = table(spark, d, "documents", "doc_id", "text").withColumnRenamed("text", "body")
-    blocked = docs.select("doc_id", F.explode(words(F.col("body"))).alias("w")).join(F.broadcast(inner), "w").select("doc_id", "item_id", "text")
+    blocked = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("body")))).alias("w")).join(inner, "w").select("doc_id", "item_id", "text")
     found = blocked.join(docs, "doc_id").where(F.contains("body", F.col("text"))).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
     return items.select("item_id").join(found, "item_id", "left")
 
