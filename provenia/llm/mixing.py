@@ -77,6 +77,24 @@ def mix_sources(
     ).withColumn("repeats", F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(0.0)))
 
 
+def mixed_texts(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The corpus that a plan of :func:`mix_sources` describes: the rows of ``docs`` once for each repetition, with ``epoch`` from 1 on.
+
+    The last repetition of a row that is taken in part has its first words only, joined by a space;
+    rows that are not taken are left out. Rows that repeat an id meet the plan's rows of that id in
+    the order of their sizes. Null ids are one id.
+    """
+    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+    number = F.row_number().over(Window.partitionBy("_id").orderBy("_size"))
+    texts = docs.select("*", F.col(id_col).cast("long").alias("_id"), size.alias("_size")).withColumn("_n", number)
+    taken = plan.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken")).withColumn("_n", number).where("_taken > 0")
+    both = texts.alias("t").join(taken.alias("p"), F.expr("t._id <=> p._id and t._n = p._n")).select("t.*", "p._taken")
+    each = both.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_taken") / F.col("_size")))).alias("epoch"))
+    left = (F.col("_taken") - (F.col("epoch") - 1) * F.col("_size")).cast("int")
+    part = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD_PATTERN})")), F.lit(1), left), " ")
+    return each.withColumn(text_col, F.when(left < F.col("_size"), part).otherwise(F.col(text_col))).select(*docs.columns, "epoch")
+
+
 #: The same mix in DuckDB's SQL, over a table or view ``documents``.
 SQL = r"""
 with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,

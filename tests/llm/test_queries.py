@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from provenia.llm import chat, decontaminate, langid, lines, mixing, neardup, queries, secrets, simhash, toxicity
 
@@ -253,3 +254,17 @@ def test_pipeline_by_brute_force(spark, data):
                         low, high = sorted((label[a], label[b]))
                         label = {i: low if x == high else x for i, x in label.items()}
             assert set(after) == set(label.values()) and all(after[i] == before[i] for i in after)
+
+
+def test_written_corpus_has_the_words_of_the_plan(spark, tmp_path):
+    """Every row as often as the plan takes it, the last time in part; repeated, null and empty rows."""
+    texts = ["a b c d", "e f", None, "", "g h i", "j", "k l m n o", "e f", "p q"]
+    ids = [1, 2, 3, 4, 5, 5, None, 2, None]
+    docs = wide(spark, texts, ids).withColumn("source", F.when(F.col("doc_id") < 3, "x").otherwise("y"))
+    plan = mixing.mix_sources(docs)
+    got = [(r.doc_id, len((r.text or "").split())) for r in mixing.mixed_texts(docs, plan).collect()]
+    want = [(r.doc_id, r.taken) for r in plan.collect() if r.taken]
+    assert sum(n for _, n in got) == sum(n for _, n in want) == sum(len((t or "").split()) for t in texts)
+    for i in {d for d, _ in want}:
+        assert sum(n for d, n in got if d == i) == sum(n for d, n in want if d == i)
+    assert mixing.mixed_texts(docs.limit(0), plan.limit(0)).columns == [*docs.columns, "epoch"]
