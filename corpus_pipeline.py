@@ -9,7 +9,7 @@ from provenia.llm import toxicity
 from provenia.llm.common import stored
 from provenia.llm.decontaminate import drop_contaminated
 from provenia.llm.lines import dedup_lines
-from provenia.llm.mixing import mix_sources
+from provenia.llm.mixing import mix_sources, mixed_texts
 from provenia.llm.neardup import drop_near_duplicates
 
 #: Models are trained, so SQL cannot say what the rows are.
@@ -51,8 +51,21 @@ STAGES = [
 ]
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all stages but the last keep of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return docs
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return STAGES[-1][1](spark, cleaned(spark, sf_dir), sf_dir)
+
+
+def write_corpus(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """Write the corpus itself to ``folder``: the cleaned texts, each as often as the mix takes it, with ``epoch``. Returns the mix's plan."""
+    docs = cleaned(spark, sf_dir)
+    plan = stored(STAGES[-1][1](spark, docs, sf_dir), "plan")
+    mixed_texts(docs, plan).write.parquet(folder)
+    return plan
