@@ -14,6 +14,11 @@ COLUMNS = (
     "verbatim_snippet", "mapping_rationale", "source_url", "confidence", "notes",
 )
 REVIEW_BELOW, RATIONALE, CER_GATE = 0.80, 300, 0.05
+#: What makes a record worth a look, as patterns of the law's name, the article and the snippet; and a name's least length.
+ABBREVIATION, SHORT_NAME = "^[A-Z]{2,8}$", 20
+BARE_ARTICLE = r"^(Art\.|s\.|Section|Reg\.)\s*\d+$"
+CROSS_REFERENCE = r"(?i)\b(see also|pursuant to|as defined in|referred to in section|under [A-Z][a-z]+ Act)\b"
+DELEGATED = r"\b(Regulations|Order|Rules|Subsidiary Legislation|Direction)\b"
 
 
 def listed(*checks: tuple[Column, Column | str]) -> Column:
@@ -57,12 +62,12 @@ def review_flags() -> Column:
     snippet, law = F.coalesce("verbatim_snippet", F.lit("")), F.coalesce("law_name", F.lit(""))
     return listed(
         (F.col("confidence") < REVIEW_BELOW, "low_confidence"),
-        ((law != "") & (law.rlike("^[A-Z]{2,8}$") | (F.length(law) < 20)), "law_name_possibly_abbreviated"),
-        (F.col("article").rlike(r"^(Art\.|s\.|Section|Reg\.)\s*\d+$"), "article_missing_paragraph"),
+        ((law != "") & (law.rlike(ABBREVIATION) | (F.length(law) < SHORT_NAME)), "law_name_possibly_abbreviated"),
+        (F.col("article").rlike(BARE_ARTICLE), "article_missing_paragraph"),
         (F.col("portal_type") == "secondary", "non_primary_source"),
         (F.col("untestable"), "discovery_tag_unresolvable"),
-        (snippet.rlike(r"(?i)\b(see also|pursuant to|as defined in|referred to in section|under [A-Z][a-z]+ Act)\b"), "cross_reference"),
-        (law.rlike(r"\b(Regulations|Order|Rules|Subsidiary Legislation|Direction)\b"), "delegated_legislation"),
+        (snippet.rlike(CROSS_REFERENCE), "cross_reference"),
+        (law.rlike(DELEGATED), "delegated_legislation"),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -74,18 +76,11 @@ def newest_rows(spark: SparkSession, folder: str, group: str, glob: str = "*.csv
     if not chosen:
         raise FileNotFoundError(f"no file below {folder} matches {group!r}")
     read = spark.read.options(**{"header": True, "encoding": "UTF-8", "multiLine": True, "escape": '"'} | options)
-    rows = read.csv([_taken(p) for p in chosen])
+    rows = read.csv([unquote(p) for p in chosen])
     rows = rows.withColumn("grp", F.regexp_extract(F.url_decode(F.col("_metadata.file_name")), group, 1))
     return rows.toDF(*[c.removeprefix("\ufeff") for c in rows.columns])
 
 
-def _taken(path: str) -> str:
-    """A path as Spark reports it, as Spark takes it."""
-    from urllib.parse import unquote
-
-    return unquote(path)
-
-
 def first_valid(versions: DataFrame, key: str, date: str, valid: str, tries: int = 10) -> DataFrame:
     """The newest version that is valid among the newest ``tries`` of each key."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(date)))

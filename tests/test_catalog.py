@@ -8,7 +8,6 @@ import pytest
 
 from provenia import plans
 
-MODULES = ("scalar", "relational", "documents")
 NAMES = sorted(plans.queries())
 
 
