@@ -35,6 +35,16 @@ def test_bm25_negative_idf_is_floored(spark):
     assert abs(idf["b"] - b) < 1e-9 and abs(idf["a"] - 0.25 * (a + b) / 2) < 1e-9
 
 
+def test_bm25_scores_equal_texts_once(spark):
+    docs = spark.createDataFrame([("a", i, t) for i, t in enumerate(["red bolt", "red bolt", "old ring", "red bolt", "old bolt"])], "brand string, seq int, text string")
+    asked = spark.createDataFrame([("q", "bolt"), ("q", "old")], "query string, term string")
+    plain = {r.seq: r.score for r in lexical.bm25(docs, asked, ["brand"], zeros=False).collect()}
+    once = lexical.bm25(docs, asked, ["brand"], "text", zeros=False, scored=docs.select("brand", "text").distinct())
+    got = {r.text: r.score for r in once.collect()}
+    assert len(got) == 3
+    assert {r.seq: pytest.approx(got[r.text]) for r in docs.collect()} == plain
+
+
 def test_titles_resolve_by_rule(spark):
     keys = spark.createDataFrame([(k,) for k in ("personal data protection act", "privacy act", "communications act (act 588)")], "key string")
     names = spark.createDataFrame([(n,) for n in ("Personal Data Protection Act 2012", "PDPA", "Act 588", "The Data Protection and Personal Act", "Data", None)], "name string")
