@@ -191,6 +191,16 @@ def test_round_robin_takes_shared_items_once(spark):
     assert dedup.round_robin(items, groups, 6).count() == 6
 
 
+def test_round_robin_shortens_queues_before_they_meet(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(dedup, "settled", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df.localCheckpoint())
+    items = spark.range(200).selectExpr("concat('t', id) as title", "concat('u', id) as url", "id as rank")
+    groups = items.selectExpr("if(rank % 2 = 0, 'a', 'b') as grp", "title")
+    got = dedup.round_robin(items, groups, 6).collect()
+    assert [r.title for r in got] == ["t0", "t1", "t2", "t3", "t4", "t5"]
+    assert "WindowGroupLimit" in plans[0]
+
+
 def test_providers(tmp_path):
     class One:
         name, model = "one", "m1"
