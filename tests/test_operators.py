@@ -109,6 +109,22 @@ def test_html_pages():
     assert html.render_mode(page, "x")[0] == "spa" and "Menu" not in page.text
 
 
+def test_pages_are_sent_in_turns(spark):
+    import pandas as pd
+
+    class Pages:
+        dtypes = [("page_id", "bigint")]
+
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, _):  # noqa: N802
+            return list(run(iter([pd.DataFrame({"page_id": range(300), "url": "https://a.org", "html": "<h1>Act</h1>"})])))
+
+    sent = html.parse_pages(Pages(), lambda page, url, text: [(page.headings[0]["title"],)], "title string")
+    assert sum(map(len, sent)) == 300 and max(map(len, sent)) <= 128
+
+
 def test_scalar_functions(spark):
     assert one(spark, U.normalise_url(F.col("u")), u="HTTPS://E.org/A/?b=1&lang=en&a=&b=2#F/") == "https://e.org/a/?b=1&b=2#f"
     assert one(spark, U.registered_domain(F.col("u")), u="https://sso.agc.gov.sg/Act") == "agc.gov.sg"
