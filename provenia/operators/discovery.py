@@ -48,7 +48,8 @@ def discover(
     offered come last. Known acts are capped by taking turns over the groups, new ones by rank.
     """
     live = portals.where(F.col("strategy") != UNDECIDED)
-    offered = candidates.join(live.where(F.col("strategy").isin(*ADAPTERS)).select("economy", "portal"), ["economy", "portal"], "left_semi")
+    n = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, as few bytes make very many rows
+    offered = candidates.repartition(n, "economy", "portal", "pos").join(live.where(F.col("strategy").isin(*ADAPTERS)).select("economy", "portal"), ["economy", "portal"], "left_semi")
     empty = live.join(offered.select("economy", "portal").distinct(), ["economy", "portal"], "left_anti")
 
     lower = F.lower("title")
@@ -70,8 +71,9 @@ def discover(
     none, seed = F.lit(0.0), [F.lit("").alias("title"), "url", F.lit("KNOWN").alias("tag")]
     domains = known.withColumn("domain", U.registered_domain(F.col("url")))
     wanted = empty.select("economy", "portal", U.registered_domain(F.col("url")).alias("domain"))
-    own = wanted.join(domains, ["economy", "domain"])
-    lost = wanted.join(own.select("economy", "portal").distinct(), ["economy", "portal"], "left_anti").groupBy("economy").agg(F.min("portal").alias("portal"))
+    # the first portal of a domain stands for all of them: of an act only the first portal counts
+    own = wanted.groupBy("economy", "domain").agg(F.min("portal").alias("portal")).join(domains, ["economy", "domain"])
+    lost = wanted.join(domains.select("economy", "domain").distinct(), ["economy", "domain"], "left_anti").groupBy("economy").agg(F.min("portal").alias("portal"))
     at = place(none.alias("rank"), F.lit(0).cast("long").alias("pos")).alias("at")
     last = F.struct(F.lit(2**62).alias("portal"), none.alias("rank"), F.lit(0).cast("long").alias("pos")).alias("at")
     every = found.unionByName(own.select("economy", at, *seed)).unionByName(lost.join(known, "economy").select("economy", at, *seed)).unionByName(known.select("economy", last, *seed))

@@ -115,3 +115,16 @@ def test_volumes_without_pages_or_headers(spark):
     assert got == [("a", 0, "Act 1", 0, 1, False), ("a", 1, "Law 7 of", 2, 6, False), ("a", 2, "CHAPTER 9", 7, 11, False)] + [("b", i, f"Segment {i}", 50 * i, min(50 * i + 49, 119), True) for i in range(3)]
     extra = volumes.acts_of_volumes(spans.withColumn("text", F.lit("Loi no")), sizes, extra=["^loi"]).where("volume = 'a'")
     assert extra.count() == 3
+
+
+def test_portals_of_one_domain_share_its_known_urls(spark):
+    """Of many portals without an offer the first stands for all, and candidates are dealt by number."""
+    from provenia.operators import discovery
+
+    frame = spark.createDataFrame
+    portals = frame([("E", n, "seed_only", f"https://www.p{n % 2}.gov.sg/") for n in range(1, 41)] + [("E", 50, "seed_only", "https://other.org/")], "economy string, portal long, strategy string, url string")
+    none = frame([], "economy string, portal long, pos long, title string, url string, score double")
+    known = frame([("E", f"https://p{n % 2}.gov.sg/act/{n}") for n in range(6)], "economy string, url string")
+    found = discovery.discover(portals, none, known, frame([], "economy string, title string"), frame([], "economy string, source string, target string"))
+    assert [r.url for r in found.orderBy("pos").collect()] == [f"https://p{n % 2}.gov.sg/act/{n}" for n in (1, 3, 5, 0, 2, 4)]
+    assert "RepartitionByExpression" in found._jdf.queryExecution().toString()
