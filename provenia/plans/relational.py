@@ -22,6 +22,10 @@ _PROVISIONS = {
 _PROV_SQL = "(select " + ", ".join(f"{v} as {k}" for k, v in _PROVISIONS.items()) + " from lineitem)"
 
 
+#: Rows of a task where they are sorted.
+_ROWS = 500_000
+
+
 def provisions(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     rows = table(spark, d, "lineitem")
     return rows.selectExpr(*[f"{_PROVISIONS[c].replace('as varchar', 'as string')} as {c}" for c in (columns or _PROVISIONS)])
@@ -376,7 +380,9 @@ def src_latest_per_group(spark: SparkSession, d: str) -> DataFrame:
 def win_merge_short(spark: SparkSession, d: str) -> DataFrame:
     """A short segment joins the one before it."""
     starts = F.when((F.col("l_quantity") >= 10) | (F.col("l_linenumber") == 1), 1).otherwise(0)
-    rows = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity").withColumn("seg", F.sum(starts).over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")))
+    lines = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity")
+    dealt = lines.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines.count() // _ROWS), "l_orderkey")  # a number, as few bytes make very many rows
+    rows = dealt.withColumn("seg", F.sum(starts).over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")))
     return rows.groupBy("l_orderkey", "seg").agg(F.min("l_linenumber").cast("long").alias("first_line"), F.max("l_linenumber").cast("long").alias("last_line"), F.sum("l_quantity").cast("double").alias("pages")).drop("seg")
 
 

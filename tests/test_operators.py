@@ -292,3 +292,11 @@ def test_progress_lines():
     for line in ("→ Loading economy config", "✓ Seed data — 3", "→ Fetching — a", "RAG retrieval", "noise", "→ Fetching — b", "Outputs written — 3 records"):
         state = runs.advance(state, line)
     assert state == (runs.STAGES.index("write"), 7, 6, 1)
+
+
+
+def test_sorted_rows_are_dealt_by_number(spark, data):
+    from provenia import plans
+
+    made = plans.queries()["win_merge_short"](spark, data)
+    assert made.select(F.spark_partition_id().alias("p")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
