@@ -294,6 +294,36 @@ def test_progress_lines():
     assert state == (runs.STAGES.index("write"), 7, 6, 1)
 
 
+class Sent:
+    """A frame whose mapped batches are seen as they are sent."""
+
+    def __init__(self, *dtypes):
+        self.dtypes = list(dtypes)
+
+    def mapInPandas(self, run, _):  # noqa: N802
+        self.run = run
+        return self
+
+    mapInArrow = mapInPandas  # noqa: N815
+
+    def select(self, *_):
+        return self
+
+    where = crossJoin = withColumnsRenamed = select  # noqa: N815
+
+
+def test_chunks_and_headings_are_sent_in_turns(spark):
+    import pandas as pd
+
+    from provenia.operators import chunking
+
+    frame = pd.DataFrame({"id": range(300), "text": "1. Heading\n" + "words of it " * 20, "title": "Act", "headings": "[]"})
+    docs = Sent(("id", "bigint"), ("text", "string"))
+    for made, columns in ((lambda: chunking.chunk_documents(docs, "id"), list(frame)), (lambda: chunking.heading_table(docs, "id"), ["id", "text"])):
+        sent = list(made().run(iter([frame[columns]])))
+        assert sum(map(len, sent)) == 300 and max(map(len, sent)) <= 64
+
+
 
 def test_sorted_rows_are_dealt_by_number(spark, data):
     from provenia import plans
