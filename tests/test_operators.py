@@ -324,6 +324,23 @@ def test_chunks_and_headings_are_sent_in_turns(spark):
         assert sum(map(len, sent)) == 300 and max(map(len, sent)) <= 64
 
 
+def test_blocks_of_search_are_scored_in_turns(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from provenia.operators import retrieval
+
+    rng = np.random.default_rng(1)
+    vectors, asked = rng.normal(size=(500, 8)), rng.normal(size=(300, 8))
+    sides = [([len(x)], [np.arange(len(x)).tobytes()], [x.tobytes()]) for x in (vectors, asked)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for side in sides for c in side], names=["n", "keys", "matrix", "_n", "_keys", "_matrix"])
+    for most, each in ((None, 500), (7, 7)):
+        sent = list(retrieval.dense_blocks(Sent(), Sent(), most=most).run(iter([batch])))
+        assert sum(b.num_rows for b in sent) == 300 * each and max(b.num_rows for b in sent) <= 128 * each
+        last = sent[-1].to_pandas().query("query == 299")
+        want = vectors @ asked[299]
+        assert np.allclose(last["score"], want[last["seq"]]) and last["score"].max() == max(want.round(9) if most else last["score"])
+
 
 def test_sorted_rows_are_dealt_by_number(spark, data):
     from provenia import plans
