@@ -11,10 +11,33 @@ from provenia.functions import text as T
 from provenia.functions import urls as U
 
 
+#: Bytes of a file that tell its kind, bytes of a file that is read whole, and names that Spark's text reader unpacks.
+HEAD, WHOLE, PACKED = 512, 32 << 20, r"\.(gz|bz2|lz4|snappy|zst|deflate)$"
+
+
 def binary_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """``path, modified, length, kind`` of files, told by their first bytes."""
+    """``path, modified, length, kind`` of files, told by their first bytes.
+
+    Larger files are read in splits, so that no task holds one whole; but for packed ones, which cannot be split.
+    """
+    name, length = F.col("_metadata.file_path"), F.col("_metadata.file_size")
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return files.select("path", F.col("modificationTime").alias("modified"), "length", file_kind(F.col("content"), F.lit("")).alias("kind"))
+    large = files.where((F.col("length") > WHOLE) & ~name.rlike(PACKED)).select("path", F.col("modificationTime").alias("modified"), "length", name.alias("_at"))
+    told = large.join(_heads(spark, path, pattern), "_at", "left").select("path", "modified", "length", file_kind(F.coalesce("head", F.lit(b"")), F.lit("")).alias("kind"))
+    for few in (files.where(F.col("length") <= WHOLE), files.where((length > WHOLE) & name.rlike(PACKED))):
+        told = told.unionByName(few.select("path", F.col("modificationTime").alias("modified"), "length", file_kind(F.col("content"), F.lit("")).alias("kind")))
+    return told
+
+
+def _heads(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """``_at, head``: the first bytes of each large file, from the first lines of its first split."""
+    name = F.col("_metadata.file_path")
+    lines = spark.read.option("pathGlobFilter", pattern).option("lineSep", "\n").text(path).where((F.col("_metadata.file_size") > WHOLE) & ~name.rlike(PACKED))
+    cut = F.substring(F.col("value").cast("binary"), 1, HEAD).alias("line")
+    rows = lines.select(name.alias("_at"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"), cut).where("start = 0")
+    first = rows.withColumn("no", F.row_number().over(Window.partitionBy("_at").orderBy("n"))).where(F.col("no") <= HEAD)
+    gathered = first.groupBy("_at").agg(F.sort_array(F.collect_list(F.struct("n", "line"))).alias("l"))
+    return gathered.select("_at", F.aggregate("l", F.lit(b""), lambda got, x: F.concat(got, x["line"], F.lit(b"\n"))).alias("head"))
 
 
 def file_kind(content: Column, content_type: Column) -> Column:

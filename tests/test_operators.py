@@ -347,3 +347,19 @@ def test_sorted_rows_are_dealt_by_number(spark, data):
 
     made = plans.queries()["win_merge_short"](spark, data)
     assert made.select(F.spark_partition_id().alias("p")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_large_files_are_told_by_their_first_split(spark, tmp_path, monkeypatch):
+    import gzip
+
+    from provenia.sources import readers
+
+    page = b"\n\r\n<!-- long -->\n<HTML>\n" + b"<p>text\n" * 400
+    for name, content in {"a.bin": b"%PDF-1.7\n" + bytes(range(256)) * 20, "b": page, "c": b"\n" * 600 + page, "d.gz": gzip.compress(bytes(range(256)) * 9 + page), "e": b"\xff\xd8\xff\n" * 900, "f": b"x", "g": b"PAR1" + bytes(4000)}.items():
+        (tmp_path / name).write_bytes(content)
+    told = lambda: {r.path[-1]: (r.length, r.kind) for r in readers.binary_files(spark, str(tmp_path)).collect()}
+    want = told()
+    assert [want[k][1] for k in "nbcefg"] == ["PDF", "HTML", "UNKNOWN", "IMAGE", "UNKNOWN", "PARQUET"] and len(want) == 7
+    monkeypatch.setattr(readers, "WHOLE", 64)
+    assert told() == want
+    assert "Format: Text" in readers.binary_files(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
