@@ -199,6 +199,24 @@ def test_retrieval_of_documents(spark):
     assert [(r.seq, r.score, r.method) for r in lacking.orderBy("rank").collect()] == [(2, 4.0, "seed"), (7, 4.0, "seed"), (0, 3.0, "retrieved")]
 
 
+def test_retrieval_splits_a_text_twice_at_most(spark):
+    chunks = spark.createDataFrame([(1, i, f"the chunk {i} \u212a \u0130 of an act" if i % 3 else f"other {i} The act the", str(i)) for i in range(9)], "doc_id long, seq int, text string, section string")
+    questions = spark.createDataFrame([("q", "the act the chunk", ["Act", "8"])], "query string, question string, keywords array<string>")
+    seeds = spark.createDataFrame([], "query string, doc_id long, section string")
+    plan = retrieval.retrieve(chunks, questions, questions, seeds, providers.hashed_embedding)._jdf.queryExecution().optimizedPlan().toString()
+    splits = [part[:200] for part in plan.split("regexp_extract_all(")[1:] if "text#" in part[:200]]
+    assert len(splits) == 2  # for its own counts, and for those of its document
+    asked = questions.select("query", F.explode(lexical.tokens(F.col("question"))).alias("term"))
+    terms = asked.agg(F.collect_set("term").alias("_asked"))
+    held = spark.createDataFrame([(["act", "8"],)], "_keywords array<string>")
+    own = {r["seq"]: r for r in lexical.weights(chunks, terms, ["doc_id"], ("seq",), held).collect()}
+    for r in lexical.bm25(chunks, asked, ["doc_id"]).collect():
+        got = own[r["seq"]]
+        assert abs(sum(got["weights"].get(w, 0.0) for w in ("the", "act", "the", "chunk")) - r["score"]) < 1e-12
+        assert sorted(got["held"]) == (["8", "act"] if r["seq"] == 8 else ["act"])
+    assert spark.sql("select 'a\u212aB \u0130c' as t").select(lexical.tokens(F.col("t"))).first()[0] == ["a", "b", "c"]
+
+
 def test_round_robin_takes_shared_items_once(spark):
     items = spark.createDataFrame([(t, u, i) for i, (t, u) in enumerate([("a", "1"), ("b", "2"), ("c", "3"), ("d", "4"), ("x", "9"), ("e", "5")])], "title string, url string, rank int")
     groups = spark.createDataFrame([("g1", "a"), ("g2", "a"), ("g2", "b"), ("g1", "c"), ("g1", "d")], "grp string, title string")
