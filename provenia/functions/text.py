@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -151,10 +152,15 @@ def clean_reference(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, NUMBER_MARK, "No. $1"), r"\s+", " ")
 
 
-@F.pandas_udf(StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    """Unicode compatibility form; Spark has no function for it."""
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+_TURN = 64  # texts that are Python strings at one time
+
+
+@F.arrow_udf(StringType())
+def nfkc(texts: pa.Array) -> pa.Array:
+    """Unicode compatibility form; Spark has no function for it. A batch stays in Arrow, so that little more than its texts and the new ones are held."""
+    turns = (texts.slice(at, _TURN).to_pylist() for at in range(0, len(texts), _TURN))
+    parts = [pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in turn], pa.string()) for turn in turns]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
 def quoted_form(c: Column) -> Column:

@@ -3,6 +3,7 @@
 import math
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,6 +218,13 @@ def test_retrieval_splits_a_text_twice_at_most(spark):
     assert spark.sql("select 'a\u212aB \u0130c' as t").select(lexical.tokens(F.col("t"))).first()[0] == ["a", "b", "c"]
 
 
+def test_compatibility_form_is_made_of_arrow_arrays():
+    texts = ["\ufb01ne", None, "e\u0301 \u2460", ""] * 50
+    got = T.nfkc.func(pa.array(texts))
+    assert isinstance(got, pa.Array) and got.to_pylist() == ["fine", None, "\u00e9 1", ""] * 50
+    assert T.nfkc.func(pa.array([], pa.string())).to_pylist() == []
+
+
 def test_round_robin_takes_shared_items_once(spark):
     items = spark.createDataFrame([(t, u, i) for i, (t, u) in enumerate([("a", "1"), ("b", "2"), ("c", "3"), ("d", "4"), ("x", "9"), ("e", "5")])], "title string, url string, rank int")
     groups = spark.createDataFrame([("g1", "a"), ("g2", "a"), ("g2", "b"), ("g1", "c"), ("g1", "d")], "grp string, title string")
