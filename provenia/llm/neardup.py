@@ -69,12 +69,12 @@ def commonness(texts: DataFrame) -> np.ndarray:
             for row, raw in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1)), strict=True):
                 held[row] = held.get(row, 0) + np.frombuffer(raw, np.uint32).astype(np.int64)
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["row", "counts"])
+            levels = [(STEPS * np.log2(1 + x)).astype(np.uint8).tobytes() for x in held.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(levels, pa.binary())], names=["row", "levels"])
 
-    schema = "row int, counts binary"
-    parts = sorted((r[0], bytes(r[1])) for r in texts.mapInArrow(count, schema).repartition(rows, "row").mapInArrow(add, schema).toLocalIterator())
-    counts = np.frombuffer(b"".join(x for _, x in parts), np.int64) if parts else np.zeros(COUNTERS, np.int64)
-    return (STEPS * np.log2(1 + counts)).astype(np.uint8)
+    added = texts.mapInArrow(count, "row int, counts binary").repartition(rows, "row").mapInArrow(add, "row int, levels binary")
+    parts = sorted((r[0], bytes(r[1])) for r in added.collect())  # a byte a counter; an iterator would start a job for each partition
+    return np.frombuffer(b"".join(x for _, x in parts), np.uint8) if parts else np.zeros(COUNTERS, np.uint8)
 
 
 def least_shared(n: int, similarity: float) -> int:

@@ -466,3 +466,21 @@ def test_pipeline(spark, data, duck):
     out = corpus_pipeline.STAGES[-1][1](spark, docs, data)
     assert out.count() == docs.count() and out.agg(F.max(F.col("taken") - 3 * F.col("size"))).first()[0] <= 0
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_levels_of_shingles_take_one_job(spark):
+    """The sketch comes to the driver as a byte a counter and in one job, however many partitions there are."""
+    texts = spark.createDataFrame([(i, f"a b c d e {i} f g h i j") for i in range(40)], "doc long, text string")
+    context = spark.sparkContext
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    context.setJobGroup("levels", "levels")
+    try:
+        levels = neardup.commonness(texts)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(context.statusTracker().getJobIdsForGroup("levels")) <= 3
+    counts = np.zeros(neardup.COUNTERS, np.int64)
+    for own in neardup.shingle_sets([t.text.encode() for t in texts.collect()]):
+        np.add.at(counts, (own % np.uint64(neardup.COUNTERS)).astype(np.int64), 1)
+    assert levels.dtype == np.uint8 and (levels == (neardup.STEPS * np.log2(1 + counts)).astype(np.uint8)).all()
